@@ -64,3 +64,18 @@ def words(text: Column) -> Column:
 def partitions(df: DataFrame) -> int:
     """Tasks of df's scan; work is split by it, as it follows the input's size."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def join_common(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows left-joined to groups (unique keys; weight: how many rows have them), where a key may be in most of the rows.
+
+    At most 1,000 keys are in a thousandth or more of the rows: those are joined by a broadcast, the rest by a shuffle.
+    Both inputs are read twice, so they should be written tables.
+    """
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    common = F.col(weight) * 1000 >= total
+    more = [c for c in groups.columns if c not in keys]
+    hot = groups.where(common).limit(1000).select(*keys, *more, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    rest = marked.where("_hot is null").drop("_hot", *more).join(groups.where(~common), keys, "left")
+    return marked.where("_hot").drop("_hot").unionByName(rest)

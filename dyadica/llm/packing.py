@@ -2,9 +2,9 @@
 
 A document of `length` tokens is cut at the largest permitted length; whole cuts fill a sequence each, and what remains
 is packed. Within a group of documents (dealt by a hash of the id; their number follows the input), pieces go, longest
-first, to the fullest open bin that holds them; where none does, a bin of the size that costs least for each token is
-opened. That is done for each permitted size as the largest opened, each bin is then downsized to the smallest
-permitted length that holds its contents, and the cheapest of these packings stays. A sequence of c tokens costs
+first, to the fullest open bin that holds them, whatever its size; where none does, another bin is opened. Each permitted
+size is tried as the one to open (a longer piece opens the smallest that holds it), each bin is downsized to the smallest
+permitted length that holds its contents, and the packing of least cost stays. A sequence of c tokens costs
 c + OVERHEAD + c * c / SPAN: a share for each token, one for each sequence, and attention's.
 
 Defined results: every row is packed, once for each time it occurs. A length that is null or below 0 counts 0; documents
@@ -30,8 +30,8 @@ def cost(size: int) -> float:
     return size + OVERHEAD + size * size / SPAN
 
 
-def best_fit(lengths: list[int], largest: int) -> list[list[int]]:
-    """Bins of positions in lengths, which is in descending order; bins of size `largest` are opened."""
+def best_fit(lengths: list[int], opened: int, sizes=SIZES) -> list[list[int]]:
+    """Bins of positions in lengths, which is in descending order. Bins of size `opened` are opened, or of the next permitted size that holds the piece."""
     room: list[tuple[int, int]] = []
     bins: list[list[int]] = []
     for i, n in enumerate(lengths):
@@ -39,7 +39,7 @@ def best_fit(lengths: list[int], largest: int) -> list[list[int]]:
         if at < len(room):
             left, b = room.pop(at)
         else:
-            left, b = largest, len(bins)
+            left, b = max(opened, next(s for s in sizes if s >= n)), len(bins)
             bins.append([])
         bins[b].append(i)
         if left - n:
@@ -51,12 +51,7 @@ def pack(lengths: list[int], sizes=SIZES, cost=cost) -> list[tuple[int, list[int
     """(size, positions) of the bins for lengths, none above the largest size, in descending order."""
     best: tuple[float, list] | None = None
     for opened in sizes:
-        # Pieces beyond the size that is being tried need the smallest larger one; they come first, so they are apart.
-        groups: dict[int, list[int]] = {}
-        for i, n in enumerate(lengths):
-            groups.setdefault(max(opened, next(s for s in sizes if s >= n)), []).append(i)
-        bins = [[mine[j] for j in b] for size, mine in groups.items() for b in best_fit([lengths[i] for i in mine], size)]
-        sized = [(next(s for s in sizes if s >= sum(lengths[i] for i in b)), b) for b in bins]
+        sized = [(next(s for s in sizes if s >= sum(lengths[i] for i in b)), b) for b in best_fit(lengths, opened, sizes)]
         total = sum(cost(s) for s, _ in sized)
         if best is None or total < best[0]:
             best = total, sized
