@@ -11,7 +11,8 @@ segment is a hash of its tokens. Costs decide which keys count:
 - Keys of more than HOT texts (common passages) are left out for each set that keeps, without them, more keys than the
   pairs' difference can use up. Pairs whose number of common keys is too small for a link are dropped before any set is read.
 - What remains in common keys (groups of many near copies) is compared with one text of each key, and joined into
-  components; then only texts of different components under one key are compared, at last each with each.
+  components. A text too few of whose tokens occur in other components is done. What is left is compared across
+  components: each with each under keys of few texts, and block by block, as products of matrices, under others.
 
 Pairs are verified by intersecting the sets. Copies of a text (the same words) are one text throughout. Texts and shingles are
 known by 64-bit hashes. Word sequences of fewer than 5 words are one shingle.
@@ -29,11 +30,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import drop_written, join_common, lower_ascii, table, words, written
+from .common import WORD, drop_written, join_common, lower_ascii, table, words, written
 from .url_filter import _bits, _set, bloom
 
-PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, STAR_ROUNDS = 80, 5, 8, 0.15, 6_000_000, 3
+PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, TOKEN_BYTES, STAR_ROUNDS, PRUNINGS, FEW, BLOCK = 80, 5, 8, 0.15, 6_000_000, 6, 2, 4, 32, 256
 HEAD = np.dtype([("cls", "<i8"), ("size", "<u4"), ("own", "<i4"), ("below", "<i4"), ("keys", "<u4")])
 
 
@@ -46,6 +48,7 @@ def shingles(w: Column, k: int = SHINGLE) -> Column:
 
 
 def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, w, cls): words, and the hash that texts are known by."""
     return docs.select("doc_id", words(lower_ascii(F.coalesce("text", F.lit("")))).alias("w")).select("doc_id", "w", F.xxhash64("w").alias("cls"))
 
 
@@ -82,7 +85,7 @@ def keys_of(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray,
     owner = np.repeat(np.arange(len(sets)), sizes)
 
     def key(a, b, segment, number, kind):
-        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _mix(b.astype(np.uint64) + np.uint64(kind) * np.uint64(0xD1B54A32D192ED03))
+        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _mix(b.astype(np.uint64) + np.uint64(kind * 0xD1B54A32D192ED03 % (1 << 64)))
         x = _mix(x ^ _mix(segment.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + number.astype(np.uint64)))
         return (x >> np.uint64(16)) & ~np.uint64(1) | (number.astype(np.uint64) & np.uint64(1))
 
@@ -121,9 +124,12 @@ def keys_of(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray,
 
 
 def _indexer(percent: int, buckets: int):
-    """Batches of (cls, set) to (bucket, payload): payload has HEADs of sets, then their keys of that bucket, 6 bytes each."""
+    """Batches of (doc_id, cls, tokens) to (bucket, payload): HEADs of sets, then their keys of that bucket, 6 bytes each; in buckets below 0, ROWs of documents."""
 
-    def flush(cls: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+    def flush(cls: list[int], sets: list[np.ndarray], docs: list[tuple]) -> pd.DataFrame:
+        rows = [(-1 - abs(docs[0][1]) % buckets, np.array(docs, dtype=ROW).tobytes())]
+        if not sets:
+            return pd.DataFrame(rows, columns=["bucket", "payload"])
         keys, owners, spare = keys_of(sets, percent)
         bucket = (_mix(keys) >> np.uint64(33)).astype(np.int64) % buckets
         order = np.lexsort((owners, bucket))
@@ -131,7 +137,6 @@ def _indexer(percent: int, buckets: int):
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         heads = np.zeros(len(sets), dtype=HEAD)
         heads["cls"], heads["size"], heads["own"], heads["below"] = cls, [len(s) for s in sets], spare[:, 0], spare[:, 1]
-        rows = []
         for i in range(buckets):
             mine, k = owners[cuts[i] : cuts[i + 1]], keys[cuts[i] : cuts[i + 1]]
             if len(mine):
@@ -142,31 +147,42 @@ def _indexer(percent: int, buckets: int):
         return pd.DataFrame(rows, columns=["bucket", "payload"])
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls, sets, held, seen = [], [], 0, set()
+        cls, sets, docs, held, seen = [], [], [], 0, set()
         for batch in batches:
-            for c, s in zip(batch["cls"], batch["tokens"], strict=True):
-                if c in seen:
-                    continue
-                seen.add(c)
-                cls.append(c)
-                sets.append(np.asarray(s, dtype=np.int64))
-                held += len(s)
-                if held > 2_000_000:
-                    yield flush(cls, sets)
-                    cls, sets, held = [], [], 0
-        if sets:
-            yield flush(cls, sets)
+            for doc_id, c, tokens in zip(batch["doc_id"], batch["cls"], batch["tokens"], strict=True):
+                missing = doc_id is None or doc_id != doc_id
+                docs.append((0 if missing else int(doc_id), c, len(tokens), missing))
+                if len(tokens) and c not in seen:
+                    seen.add(c)
+                    cls.append(c)
+                    sets.append(np.asarray(tokens, dtype=np.int64))
+                    held += len(tokens)
+            if held > 2_000_000 or len(docs) > 100_000:
+                yield flush(cls, sets, docs)
+                cls, sets, docs, held = [], [], [], 0
+        if docs:
+            yield flush(cls, sets, docs)
 
     return index
 
 
+ROW = np.dtype([("doc_id", "<i8"), ("cls", "<i8"), ("n", "<i8"), ("missing", "?")])
 FOUND = "run long, a long, b long, n int, odd int, size_a long, size_b long, spare_a int, spare_b int"
 
 
 def _meet(percent: int, hot: int):
-    """The payloads of a bucket to pairs under keys of few texts (run null), and the texts under common keys (b null)."""
+    """The payloads of a bucket to pairs under keys of few texts (run null), texts under common keys (b null), or documents (odd -1: id, text, size)."""
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def documents(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.frombuffer(payload, ROW) for payload in rows["payload"]])
+        out = pd.DataFrame({"a": pd.Series(x["doc_id"]).astype("Int64").mask(x["missing"]), "b": x["cls"], "size_a": x["n"], "odd": -1})
+        return out.assign(**{c: pd.array([None] * len(x), dtype="Int64") if c == "run" else 0 for c in names if c not in out.columns})[names]
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return documents(rows)
         heads, keys = [], []
         for payload in rows["payload"]:
             n = int(np.frombuffer(payload, "<u4", 1)[0])
@@ -212,7 +228,7 @@ def _meet(percent: int, hot: int):
         band = np.searchsorted(ends, head["size"][at], side="right") - 1
         members = pd.DataFrame({"run": pd.array(key[common].astype(np.int64), dtype="Int64"), "a": head["cls"][at], "b": pd.array([None] * len(at), dtype="Int64"), "n": 1, "odd": odd, "size_a": head["size"][at].astype(np.int64), "size_b": 0, "spare_a": np.where(band % 2 == odd, head["own"][at], head["below"][at]), "spare_b": 0})
         pairs["b"] = pairs["b"].astype("Int64")
-        return pd.concat([pairs, members])[[c.split()[0] for c in FOUND.split(", ")]]
+        return pd.concat([pairs, members])[names]
 
     return meet
 
@@ -250,13 +266,14 @@ def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens:
     """docs (doc_id, text): one row for each with n_shingles and component_id."""
     spark = docs.sparkSession
     every = texts(docs)
-    rows = written(every.select("doc_id", "cls", F.size(shingles(F.col("w"))).cast("long").alias("n_shingles")), "rows")
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_tokens))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(size / TOKEN_BYTES / bucket_tokens))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # texts may be long
-    sets = every.where(F.size("w") > 0).select("cls", shingles(F.col("w")).alias("tokens"))
-    dealt = sets.mapInPandas(_indexer(percent, buckets), "bucket int, payload binary").repartition(buckets, "bucket")
+    sets = every.select(F.col("doc_id").cast("long").alias("doc_id"), "cls", shingles(F.col("w")).alias("tokens"))
+    dealt = sets.mapInPandas(_indexer(percent, buckets), "bucket int, payload binary").repartition(2 * buckets, "bucket")
     found = written(dealt.groupBy("bucket").applyInPandas(_meet(percent, hot), FOUND), "found")
+    rows = found.where("odd = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size_a").alias("n_shingles"))
+    found = found.where("odd <> -1")
     members = found.where("b is null").select("run", F.col("a").alias("cls"), "odd", F.col("size_a").alias("size"), F.col("spare_a").alias("spare"))
     lost = written(members.groupBy("cls", "odd").agg(F.count("*").alias("lost"), F.min("spare").alias("spare")), "lost")
     # A set that keeps enough other keys leaves common ones.
@@ -273,10 +290,10 @@ def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens:
     todo = written(tested.unionByName(first).distinct(), "todo")
     needed = todo.select(F.col("a").alias("cls")).union(todo.select("b")).union(runs.select("cls")).distinct()
     needed = written(needed, "needed")
-    chosen = written(_chosen(every, needed), "sets")
+    chosen = written(_chosen(texts(docs.where(F.col("text").rlike(WORD))), needed), "sets")
     edges, tested, labels = None, None, None
     for turn in range(1, STAR_ROUNDS + 2):
-        if todo.isEmpty():
+        if turn == 1 and todo.isEmpty() and runs.isEmpty():
             break
         good = written(verified(todo, chosen, percent), "links")
         edges = good if edges is None else edges.unionByName(good)
@@ -288,13 +305,16 @@ def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens:
             runs = runs.drop("root").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         else:
             runs = runs.drop("root").withColumn("root", F.col("cls"))
-        split = runs.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
-        runs = written(runs.join(split, "run", "left_semi"), "runs")
+        runs = _unresolved(runs, chosen, percent)
+        if runs.isEmpty():
+            break
         if turn < STAR_ROUNDS:
             more = ordered(star(runs, turn).where((F.col("root") != F.col("pivot_root")) & fits(F.col("size"), F.col("pivot_size"))), "cls", "pivot")
-        else:  # what is left: each with each of another component
-            other = runs.select("run", *[F.col(c).alias(f"{c}_2") for c in ("cls", "size", "root")])
-            met = runs.join(other, "run").where((F.col("cls") < F.col("cls_2")) & (F.col("root") != F.col("root_2")) & fits(F.col("size"), F.col("size_2")))
+        else:
+            edges = edges.unionByName(_blocks(runs, chosen, percent, star))
+            small = runs.join(_sizes(runs).where(F.col("texts") <= FEW).select("run"), "run", "left_semi")
+            other = small.select("run", *[F.col(c).alias(f"{c}_2") for c in ("cls", "size", "root")])
+            met = small.join(other, "run").where((F.col("cls") < F.col("cls_2")) & (F.col("root") != F.col("root_2")) & fits(F.col("size"), F.col("size_2")))
             more = ordered(met, "cls", "cls_2")
         todo = written(more.join(tested, ["a", "b"], "left_anti"), "todo")
     return _labelled(rows, labels)
@@ -306,14 +326,84 @@ def _chosen(every: DataFrame, needed: DataFrame) -> DataFrame:
     blocks = max(1, min(131_072, math.ceil(n * 16 / 512)))
     filters = bloom(needed.select(F.col("cls").cast("string").alias("canon")), blocks)
     canon = F.col("cls").cast("string")
-    rows = every.where(F.size("w") > 0).withColumn("block", F.pmod(F.xxhash64(canon), F.lit(blocks))).join(F.broadcast(filters), "block")
+    rows = every.withColumn("block", F.pmod(F.xxhash64(canon), F.lit(blocks))).join(F.broadcast(filters), "block")
     hit = F.lit(True)
     for i, bit in enumerate(_bits(canon)):
         hit = hit & (F.col(f"lane{i}").bitwiseAND(_set(bit)) != 0)
-    # One row of each text: the one with the smallest id, found before its words are moved.
-    ids = written(rows.where(hit).select("cls", "doc_id").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(needed, "cls", "left_semi"), "ids")
-    few = rows.where(hit).select("cls", "doc_id", shingles(F.col("w")).alias("tokens")).join(ids, ["cls", "doc_id"], "left_semi")
-    return few.groupBy("cls").agg(F.any_value("tokens").alias("tokens"))
+    # Each task sends a text's set once, however many copies it reads.
+    few = rows.where(hit).select("cls", shingles(F.col("w")).alias("tokens")).groupBy("cls").agg(F.any_value("tokens").alias("tokens"))
+    return few.join(needed, "cls", "left_semi")
+
+
+def _unresolved(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Runs with texts of several components, without texts that can't be linked to another component: too few of their tokens occur in any."""
+
+    def split(r: DataFrame) -> DataFrame:
+        several = r.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
+        return written(r.join(several, "run", "left_semi"), "runs")
+
+    runs = split(runs)
+    for _ in range(PRUNINGS):
+        if runs.isEmpty():
+            break
+        tokens = written(runs.select("cls", "root", "size").distinct().join(chosen, "cls").select("cls", "root", "size", F.explode("tokens").alias("token")), "tokens")
+        shared = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        able = tokens.join(shared, "token", "left_semi").groupBy("cls", "size").count().where(F.col("count") * 100 >= F.col("size") * percent).select("cls")
+        before, runs = runs, split(runs.join(able, "cls", "left_semi"))
+        drop_written(tokens)
+        if 10 * runs.count() > 9 * before.count():
+            break
+    return runs
+
+
+def _sizes(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("run").agg(F.count("*").alias("texts"))
+
+
+def _blocks(runs: DataFrame, chosen: DataFrame, percent: int, star) -> DataFrame:
+    """Links between components among the texts of runs of more than FEW texts.
+
+    Texts that meet in such runs form clusters; blocks of BLOCK texts of like size of a cluster are compared by a product of matrices,
+    block by block. Only links leave a task.
+    """
+    runs = written(runs.join(_sizes(runs).where(F.col("texts") > FEW).select("run"), "run", "left_semi"), "long-runs")
+    met = components(star(runs, 0).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    if met is None:
+        return runs.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    docs = runs.select("cls", "size", F.col("root").alias("part")).distinct().join(met.withColumnRenamed("root", "cluster"), "cls")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("size", "cls"))
+    docs = written(docs.withColumn("block", F.floor((rank - 1) / BLOCK)), "blocks")
+    blocks = docs.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    left, right = blocks.select("cluster", F.col("block").alias("i"), "high"), blocks.select("cluster", F.col("block").alias("j"), "low")
+    pairs = left.join(right, "cluster").where((F.col("i") <= F.col("j")) & (F.col("high") * 100 >= F.col("low") * percent))
+    sides = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    held = docs.join(chosen, "cls").join(sides, ["cluster", "block"])
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        first = (rows["block"] == rows["i"]).to_numpy()
+        one, two = np.nonzero(first)[0], np.nonzero((rows["block"] == rows["j"]).to_numpy())[0]
+        sizes = rows["size"].to_numpy()
+        doc = np.repeat(np.arange(len(rows)), [len(t) for t in rows["tokens"]])
+        token, count = np.unique(np.concatenate(list(rows["tokens"])), return_inverse=True, return_counts=True)[1:]
+        kept = count[token] > 1
+        doc, token = doc[kept], token[kept]
+        order = np.argsort(token, kind="stable")
+        doc, token = doc[order], token[order]
+        both = np.zeros((len(one), len(two)), dtype=np.float32)
+        for low in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+            a, b = np.searchsorted(token, [low, low + 4096])
+            if a < b:
+                x = np.zeros((len(rows), 4096), dtype=np.float32)
+                x[doc[a:b], token[a:b] - low] = 1
+                both += x[one] @ x[two].T
+        both = both.astype(np.int64)
+        cls, part = rows["cls"].to_numpy(), rows["part"].to_numpy()
+        good = 100 * both >= percent * (sizes[one][:, None] + sizes[two][None, :] - both)
+        i, j = np.nonzero(good & (part[one][:, None] != part[two][None, :]) & (cls[one][:, None] != cls[two][None, :]))
+        x, y = cls[one][i], cls[two][j]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    return written(held.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long"), "block-links")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
