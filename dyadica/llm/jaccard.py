@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from .common import WORD, drop_written, join_common, lower_ascii, table, words, written
 from .url_filter import _bits, _set, bloom
 
-PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, TOKEN_BYTES, STAR_ROUNDS, PRUNINGS, FEW, BLOCK = 80, 5, 8, 0.15, 6_000_000, 6, 2, 4, 32, 256
+PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, TOKEN_BYTES, STAR_ROUNDS, PRUNINGS, FEW, BLOCK = 80, 5, 8, 0.15, 6_000_000, 6, 1, 4, 32, 256
 HEAD = np.dtype([("cls", "<i8"), ("size", "<u4"), ("own", "<i4"), ("below", "<i4"), ("keys", "<u4")])
 
 
