@@ -30,8 +30,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert cells(catalogue.QUERIES[name](spark, SF).toPandas()) == cells(duck.execute(catalogue.SQL[name]).fetchdf())
 
 
-def test_predicted_overlap_of_a_published_child(spark):
-    # N, S, bias and the predicted overlap of one published child.
+def test_predicted_overlap_equals_a_loop(spark):
     n, s, b = 40, 120, 0.8
     h = sum(1 / r for r in range(1, n + 1))
     p = [1 / (r * h) for r in range(1, n + 1)]
