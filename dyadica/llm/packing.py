@@ -90,7 +90,11 @@ def pack_documents(docs: DataFrame, sizes=SIZES, cost=cost, group_rows: int = GR
         return pd.DataFrame({k: pd.Series(v, dtype="Int64" if k != "piece" else "int32") for k, v in zip(names, columns, strict=True)})
 
     dealt = docs.withColumn("group", F.pmod(F.xxhash64("doc_id", "length"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("group").applyInPandas(one, SCHEMA)
+    # Only rows that repeat an id fill a group far beyond group_rows: such groups are dealt on, row by row.
+    large = written(dealt.groupBy("group").agg(F.ceil(F.count("*") / F.lit(group_rows)).alias("parts")).where("parts > 2"), "large-groups")
+    spread = dealt.withColumn("row", F.monotonically_increasing_id()).join(large, "group", "left")
+    spread = spread.withColumn("group", F.col("group") + groups * F.pmod("row", F.coalesce("parts", F.lit(1)))).drop("row", "parts")
+    return spread.groupBy("group").applyInPandas(one, SCHEMA)
 
 
 def byte_lengths(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .common import fresh_path, table, written
 
-SHARDS, ROUNDS, KEY, NUMBER_BUCKETS = 40, 6, 0x5EED, 4096
+SHARDS, ROUNDS, KEY, NUMBER_BUCKETS, COMMON_ROWS = 40, 6, 0x5EED, 4096, 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,10 +50,32 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS, i
     return out.astype(np.int64)
 
 
-def numbered(rows: DataFrame, keys: list[str], buckets: int = NUMBER_BUCKETS) -> tuple[DataFrame, int]:
-    """rows with `number`, 0 to n - 1 without gaps, in the order of (hash bucket, keys); and n."""
+def _spread(rows: DataFrame, keys: list[str], buckets: int, common: int) -> DataFrame:
+    """rows, with buckets of their own (from `buckets` on) for equal keys that would fill one. Equal rows may change places, so the order stays reproducible."""
+    sizes = [(r["bucket"], r["count"]) for r in rows.groupBy("bucket").count().collect()]  # at most `buckets` rows
+    limit = max(common, 4 * sum(n for _, n in sizes) // buckets)
+    full = [b for b, n in sizes if n > limit]
+    found = rows.where(F.col("bucket").isin(full)).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).orderBy(*keys).collect() if full else []  # at most buckets / 4
+    if not found:
+        return rows
+    own, at = [], buckets
+    for r in found:
+        parts = -(-r["_n"] // limit)
+        own.append((*[r[k] for k in keys], at, parts))
+        at += parts
+    names = [f"_k{i}" for i in range(len(keys))]
+    shape = ", ".join([*[f"{n} {rows.schema[k].dataType.simpleString()}" for n, k in zip(names, keys, strict=True)], "_at int", "_parts int"])
+    same = [F.col(k).eqNullSafe(F.col(n)) for n, k in zip(names, keys, strict=True)]
+    marked = rows.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(rows.sparkSession.createDataFrame(own, shape)), same, "left")
+    bucket = F.coalesce(F.col("_at") + F.pmod("_row", "_parts"), "bucket").cast("int")
+    return written(marked.withColumn("bucket", bucket).drop("_row", "_at", "_parts", *names), "spread")
+
+
+def numbered(rows: DataFrame, keys: list[str], buckets: int = NUMBER_BUCKETS, common: int = COMMON_ROWS) -> tuple[DataFrame, int]:
+    """rows with `number`, 0 to n - 1 without gaps, in the order of (hash bucket, keys), very common keys last; and n."""
     rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "numbered")
-    sizes = rows.groupBy("bucket").count().collect()  # at most `buckets` rows
+    rows = _spread(rows, keys, buckets, common)
+    sizes = rows.groupBy("bucket").count().collect()  # some 1.5 times `buckets` rows at most
     starts, n = [], 0
     for bucket, size in sorted((r["bucket"], r["count"]) for r in sizes):
         starts.append((bucket, n))

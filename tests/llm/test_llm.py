@@ -71,6 +71,13 @@ def test_sharding(spark):
     sizes = Counter(r.shard for r in out)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and {(r.shard, r.slot) for r in out} == {(s, i) for s, n in sizes.items() for i in range(n)}
     assert sharding.assign(rows.limit(0), ["doc_id"]).count() == 0
+    common = spark.createDataFrame([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i % 2) for i in range(3000)], "doc_id long, x int")  # two keys in a third of the rows each
+    for least in (100, 10_000):
+        out, n = sharding.numbered(common, ["doc_id"], buckets=16, common=least)
+        assert n == 3000 and sorted(r.number for r in out.collect()) == list(range(3000)) and set(out.columns) == {"doc_id", "x", "number"}
+    spread = sharding.written(common.withColumn("bucket", sharding.F.lit(3)), "test")
+    dealt = dict(sharding._spread(spread, ["doc_id"], 16, 100).groupBy("bucket").count().collect())  # 750 rows a bucket: 2 for each common key
+    assert set(dealt) == {3, 16, 17, 18, 19} and dealt[3] == 1000 and max(n for b, n in dealt.items() if b > 3) <= 510
     assert spark.read.parquet(sharding.write_shards(rows.drop("shard"), ["doc_id"], 4)).count() == 101
 
 
@@ -116,6 +123,9 @@ def test_packing(spark):
     out = packing.pack_documents(d, sizes).toPandas()
     assert out.groupby("bin_id").apply(lambda b: b.length.sum() <= b.bin_size.iloc[0], include_groups=False).all()
     assert sorted(out.groupby("doc_id", dropna=False).length.sum().tolist()) == sorted([10, 7, 0, 0, 193, 128])
+    hot = spark.createDataFrame([(7, 3)] * 900 + [(i, 5) for i in range(100)], "doc_id long, length long")
+    out = packing.pack_documents(hot, sizes, group_rows=50).toPandas()
+    assert len(out) == 1000 and out.length.sum() == 3200 and out.bin_id.floordiv(1 << 32).value_counts().max() < 300
     assert packing.pack_documents(d.limit(0), sizes).count() == 0
 
 
