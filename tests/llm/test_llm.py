@@ -224,6 +224,30 @@ def test_neighbours(spark):
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0).selectExpr("vec_id AS query_id")).count() == 0
 
 
+def test_neighbours_search_goes_on(spark):
+    """A ring whose pool takes more hops than a fixed few."""
+    ring = [(i, [float(np.cos(i * np.pi / 50)), float(np.sin(i * np.pi / 50))]) for i in range(100)]
+    nodes = spark.createDataFrame(ring, "node long, vector array<double>").select("node", "vector", neighbours.packed("vector").alias("packed"))
+    graph = spark.createDataFrame([(i, (i + s) % 100) for i in range(100) for s in (1, -1)], "node long, other long")
+    found = neighbours.search(graph, nodes, spark.createDataFrame([(7,)], "query long"), pool=41, width=4).toPandas()
+    assert sorted(found.node) == sorted((7 + s) % 100 for s in range(-20, 21))
+    assert neighbours.pool_of(100) == neighbours.POOL < neighbours.pool_of(50_000) < neighbours.pool_of(3_000_000)
+
+
+def test_neighbours_descent_goes_on(spark, monkeypatch):
+    """Each of nine rounds still changes the graph."""
+    rounds = iter(range(2, 11))
+
+    def better(*_):
+        n = next(rounds, 10)
+        return spark.createDataFrame([(0, n, float(n))], neighbours.EDGE)
+
+    first = spark.createDataFrame([(0, 1, 1.0, True, 1, 1.0)], "node long, other long, score double, old boolean, n int, worst double")
+    monkeypatch.setattr(neighbours, "first_graph", lambda *_: first)
+    monkeypatch.setattr(neighbours, "descend", better)
+    assert [r.other for r in neighbours.build(None, 1).collect()] == [10]
+
+
 def test_pipeline(spark):
     """run() against its parts by brute force."""
     import corpus_pipeline
