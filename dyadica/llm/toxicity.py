@@ -5,8 +5,9 @@ score is sigmoid(b + sum w_t + sum over pairs <v_s, v_t>), with the pair term by
 that a pair such as an insult with a group's mention has a weight of its own, which a linear model lacks.
 
 The machine is fitted, in one task, on at most TRAIN_ROWS labelled rows, those with the smallest hash of their id; equal
-texts count once. Only terms in at least MIN_DOCS of these texts whose chi-square with the label is at least CHI_SQUARE
-have weights: others would be learned by heart. The model has a fixed size and is broadcast; every document is scored by its whole text.
+texts count once. Terms in at least MIN_DOCS of these texts have weights if their own chi-square with the label is at least
+CHI_SQUARE, or if the label depends on them among the texts that hold some other term (`paired`): others would be learned
+by heart. The model has a fixed size and is broadcast; every document is scored by its whole text.
 
 Defined results: a null or empty text gets the score of no terms (the bias); labels that are null are not used; without
 labels of both kinds every score is 0. Equal texts get equal scores. Other columns pass through `score`, whose own
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BITS, RANK, TRAIN_ROWS, MIN_DOCS, CHI_SQUARE, EPOCHS, RATE, DECAY, SEED = 18, 4, 20_000, 4, 15.0, 12, 0.05, 1e-4, 7
+BITS, RANK, TRAIN_ROWS, MIN_DOCS, CHI_SQUARE, PAIR_ODDS, EPOCHS, RATE, DECAY, SEED = 18, 4, 20_000, 4, 15.0, 20, 12, 0.05, 1e-4, 7
 TERM = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5)
 
@@ -39,6 +40,45 @@ def terms(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(w.encode()) & mask for w in words), dtype=np.int64, count=len(words)))
 
 
+def paired(docs: list[np.ndarray], labels: np.ndarray, terms_: np.ndarray, min_docs: int = MIN_DOCS) -> np.ndarray:
+    """Those of terms_ that the label depends on among the texts with another of terms_, which need not matter by itself; min_docs texts have both.
+
+    The log-likelihood ratio has to pass what chance reaches about once in PAIR_ODDS fits, so many pairs as there are.
+    """
+    size = len(terms_)
+    at = [np.searchsorted(terms_, d[np.isin(d, terms_, assume_unique=True)]) for d in docs]
+    lengths = np.array([len(d) for d in at])
+    term = np.concatenate(at)
+    by_term = np.repeat(np.arange(len(at), dtype=np.int32), lengths)[np.argsort(term, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+    f = np.arange(len(docs) + 1, dtype=np.float64)
+    f[1:] *= np.log(f[1:])
+    least = 2 * np.log(max(size, 2) ** 2 * PAIR_ODDS)
+    toxic, out = labels == 1, np.zeros(size, dtype=bool)
+
+    def count(some: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([at[i] for i in some]), minlength=size) if len(some) else np.zeros(size, dtype=np.int64)
+
+    every = [(count(np.nonzero(b)[0]), b) for b in (~toxic, toxic)]
+    for s in range(size):
+        held = by_term[first[s] : first[s + 1]]
+        n, y = len(held), int(toxic[held].sum())
+        if 2 * (f[n] - f[y] - f[n - y]) < least:
+            continue  # even a term that tells these texts apart would not pass
+        if 2 * n > len(at):  # the texts without s are fewer
+            other = np.ones(len(at), dtype=bool)
+            other[held] = False
+            good, bad = (a - count(np.nonzero(other & b)[0]) for a, b in every)
+        else:
+            good, bad = (count(held[b[held]]) for _, b in every)
+        t = np.nonzero((good + bad >= min_docs) & ~out)[0]
+        good, bad = good[t], bad[t]
+        k = good + bad
+        ratio = 2 * (f[bad] + f[good] + f[y - bad] + f[n - y - good] - f[k] - f[n - k] + f[n] - f[y] - f[n - y])
+        out[t[ratio >= least]] = True
+    return terms_[out]
+
+
 def fit(rows: list[tuple[str, int]], bits: int = BITS, rank: int = RANK, min_docs: int = MIN_DOCS, epochs: int = EPOCHS) -> dict | None:
     """A model of (text, label) rows; None unless both labels occur."""
     rows = sorted(set(rows))
@@ -51,6 +91,7 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, rank: int = RANK, min_doc
     n, p = len(docs), labels.mean()
     share = np.maximum(seen * p * (1 - p) * (1 - seen / n), 1e-9)
     used = (seen >= min_docs) & ((toxic - seen * p) ** 2 / share >= CHI_SQUARE)
+    used[paired(docs, labels, np.nonzero(seen >= min_docs)[0], min_docs)] = True
     docs = [d[used[d]] for d in docs]
     rng = np.random.default_rng(SEED)
     w, v, b = np.zeros(1 << bits), rng.normal(0, 0.01, (1 << bits, rank)), float(np.log(labels.mean() / (1 - labels.mean())))

@@ -166,6 +166,23 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in out) and out[0].score == out[1].score
 
 
+@pytest.mark.parametrize("exclusive", [True, False])
+def test_toxicity_of_neutral_terms(exclusive):
+    """Terms that are neutral alone: either but not both are toxic, or a common group's mention with a rare insult."""
+    rng = random.Random(8)
+    words = [f"w{i}x" for i in range(500)]
+    rows = []
+    for i in range(3000):
+        insult, group = (i & 1, i >> 1 & 1) if exclusive else (i % 40 == 0, rng.random() < 0.3)
+        slur = not exclusive and i % 13 == 1
+        toxic = insult != group if exclusive else slur or (insult and group)
+        rows.append((" ".join([*rng.sample(words, 20), *["insultword"] * insult, *["groupword"] * group, *["slurword"] * slur]), int(toxic), insult))
+    model = toxicity.fit([(t, y) for t, y, _ in rows[:2000]])
+    group = toxicity.terms("groupword")
+    assert (model["w"][group] != 0).any()
+    assert np.mean([(toxicity.predict(model, t) >= 0.5) == y for t, y, _ in rows[2000:]]) > 0.97
+
+
 def brute(rows):
     sets = {}
     for i, t in rows:
