@@ -429,6 +429,12 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """One document of each group of near copies, the one with the smallest id; documents without words all stay."""
-    keep = link(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One document of each group of near copies, the one with the smallest id; documents without words all stay, and so do rows without an id.
+
+    Of rows that repeat an id, one stays for each of its texts, the least row.
+    """
+    keep = written(link(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept-ids")
+    once = docs.join(keep.where("rows = 1"), "doc_id", "left_semi")
+    again = docs.join(keep.where("rows > 1"), "doc_id", "left_semi")
+    least = again.groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.unionByName(least).unionByName(docs.where("doc_id is null"))

@@ -224,6 +224,13 @@ def test_jaccard(spark, hot):
     assert jaccard.link(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_stage_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, a), (None, None), (1, a), (1, a), (2, a), (3, b), (4, None), (5, c), (5, c), (5, c)]
+    out = jaccard.stage(spark, docs(spark, rows), None).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(None, a), (None, a), (None, None), (1, a), (3, b), (4, None), (5, c)])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 8))
