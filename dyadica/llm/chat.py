@@ -12,7 +12,8 @@ the formatted string, over the assistant's texts.
 
 Defined results: a null text or role is empty; a null score counts 0; a parent that is null or missing makes a root; of
 repeated (conversation, node) rows that with the smallest (parent, role, text) counts, unless unique says there are
-none; an empty table gives no rows; parents in a circle raise ValueError if a leaf hangs from it, and else have no leaf.
+none; a null conversation is a conversation, and in it or any other a null node is a node, which nothing can have as its
+parent; an empty table gives no rows; parents in a circle raise ValueError if a leaf hangs from it, and else have no leaf.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _unescape_role(role: Column) -> Column:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(conv, leaf, node, up) for every node on the path to each leaf; up: steps above the leaf. nodes: conv, node, parent."""
+    """(conv, leaf, node, up) for every node on the path to each leaf; up: steps above the leaf. nodes: conv, node, parent; conv and node not null."""
     ids = nodes.select("conv", "node")
     jump = written(nodes.select("conv", "node", "parent").join(ids.withColumnRenamed("node", "parent"), ["conv", "parent"]), "jump-0")
     leaves = ids.join(jump.select("conv", F.col("parent").alias("node")), ["conv", "node"], "left_anti")
@@ -102,13 +103,15 @@ def format_trees(nodes: DataFrame, *, branches: int = 1, unique: bool = False) -
     if not unique:
         first = Window.partitionBy("conv", "node").orderBy("parent", "role", "text")
         nodes = nodes.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    # Structs, which are never null themselves, so that joins match null ids too.
+    nodes = nodes.withColumns({"conv": F.struct(F.col("conv").alias("id")), "node": F.struct(F.col("node").alias("id")), "parent": F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("id")))})
     nodes = written(nodes, "nodes")
     on = paths(nodes)
     ranked = on.join(nodes.select("conv", "node", "score"), ["conv", "node"]).groupBy("conv", "leaf").agg(F.avg("score").alias("score"))
     best = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf"))).where(F.col("branch") <= branches)
     turns = on.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"]).join(best, ["conv", "leaf"])
     whole = turns.groupBy("conv", "branch", "leaf", "score").agg(F.sort_array(F.collect_list(F.struct(-F.col("up"), "role", "text"))).alias("turns"))
-    return whole.select("conv", "branch", "leaf", "score", formatted(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
+    return whole.select(F.col("conv.id").alias("conv"), "branch", F.col("leaf.id").alias("leaf"), "score", formatted(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
 
 
 def linear(conversations: DataFrame) -> DataFrame:

@@ -140,6 +140,16 @@ def test_reply_trees(spark):
         chat.format_trees(spark.createDataFrame([(1, 1, 2, "a", "b"), (1, 2, 1, "a", "b"), (1, 3, 1, "a", "b")], "conv long, node long, parent long, role string, text string")).collect()
 
 
+def test_reply_trees_of_null_ids(spark, duck):
+    nodes = [(None, 1, None, "user", "q"), (None, 2, 1, "assistant", "a"), (3, None, None, "user", "x"), (None, None, 2, "user", "y")]
+    out = chat.format_trees(spark.createDataFrame(nodes, "conv long, node long, parent long, role string, text string"), branches=2)
+    rows = {(r.conv, r.leaf): [x.text for x in r.t] for r in out.select("conv", "leaf", chat.read_turns(out["formatted"]).alias("t")).collect()}
+    assert rows == {(None, None): ["q", "a", "y"], (3, None): ["x"]}
+    talk = spark.createDataFrame([(None, 1, "user", "q"), (None, 2, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    (row,) = chat.format_trees(chat.linear(talk), unique=True).collect()
+    assert row.conv is None and row.formatted.count("<|im_end|>") == 2
+
+
 def test_warc(spark):
     rows = [(None, None, None), (3, "u\nx", "a"), (3, "u", "a"), (1, "v", "a"), (7, "w", ""), (9, None, None), (2**62, "z", "q" * 9000), (-5, "k", "q" * 9000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, range int")
