@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batches_of, table, written
 
 CACHED = 200_000  # encodings that a worker keeps
 
@@ -136,7 +136,8 @@ def query(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # long texts: memory is bounded by rows of a batch
     out = encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
     out = out.withColumn("bytes", decoder(spark, path)(F.col("ids")))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    out = out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    with batches_of(spark, 500):  # long texts: memory is bounded by rows of a batch
+        return written(out, "bpe")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +18,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="dyadica-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse, which they share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_dyadica"
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[len("file:") :]
     return folder.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's folder in the shared one. It is deleted when the driver ends, with all that was written for results it has read by then."""
+    folder = f"{shared_dir(spark)}/dyadica-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside; then the session's setting holds again. Texts and lists may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +88,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def partitions(df: DataFrame) -> int:
-    """Tasks of df's scan; work is split by it, as it follows the input's size."""
-    return max(1, df.rdd.getNumPartitions())
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def join_common(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:

@@ -7,24 +7,28 @@ segment is a hash of its tokens. Costs decide which keys count:
 
 - Empty segments have no key. A set with too few others (m - H or more are empty) also gives the one-deletion
   neighbourhood of its segments: of two such sets some segment differs by one token at most. Very small sets for which
-  even that isn't certain share one key of the scheme.
+  even that isn't certain also give what is left of them without up to H tokens: two of them that are linked meet in their
+  intersection.
 - Keys of more than HOT texts (common passages) are left out for each set that keeps, without them, more keys than the
   pairs' difference can use up. Pairs whose number of common keys is too small for a link are dropped before any set is read.
 - What remains in common keys (groups of many near copies) is compared with one text of each key, and joined into
-  components. A text too few of whose tokens occur in other components is done. What is left is compared across
-  components: each with each under keys of few texts, and block by block, as products of matrices, under others.
+  components. A text too few of whose tokens occur in other components is done. That is repeated with other texts while it
+  thins the rest out. What is left is compared across components: each with each under keys of few texts, and block by
+  block, as products of matrices, under others. A pair of components that is linked in a block needs one link only.
 
 Pairs are verified by intersecting the sets. Copies of a text (the same words) are one text throughout. Texts and shingles are
 known by 64-bit hashes. Word sequences of fewer than 5 words are one shingle.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a null id stays null, with a null
-component; rows that repeat an id each get a row, and the id's component is that of its first text by hash; an empty table gives no rows.
+component; rows that repeat an id each get a row, and all texts with words of one id are linked with each other, as they are
+one document; its rows without words keep the id itself. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,10 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, drop_written, join_common, lower_ascii, table, words, written
+from .common import WORD, batches_of, drop_written, join_common, lower_ascii, mix, table, words, written
 from .url_filter import _bits, _set, bloom
 
-PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, TOKEN_BYTES, STAR_ROUNDS, PRUNINGS, FEW, BLOCK = 80, 5, 8, 0.15, 6_000_000, 6, 1, 4, 32, 256
+PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, TOKEN_BYTES, STAR_ROUNDS, THINNED, PRUNINGS, FEW, BLOCK = 80, 5, 8, 0.15, 6_000_000, 6, 8, 0.7, 4, 32, 256
 HEAD = np.dtype([("cls", "<i8"), ("size", "<u4"), ("own", "<i4"), ("below", "<i4"), ("keys", "<u4")])
 
 
@@ -67,26 +71,20 @@ def scheme(percent: int, end: int) -> tuple[int, int]:
     return differ + 1 + math.ceil(SLACK * differ), differ
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def keys_of(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys (48 bits, the lowest says whether the scheme's number is odd) and their sets' positions; and each set's spare keys in its own scheme and the one below."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     ends = bounds(percent, int(sizes.max(initial=1)))
     band = np.searchsorted(ends, sizes, side="right") - 1
-    tokens = _mix(np.concatenate(sets).astype(np.int64).view(np.uint64)) if len(sets) else np.empty(0, np.uint64)
+    tokens = mix(np.concatenate(sets).astype(np.int64).view(np.uint64)) if len(sets) else np.empty(0, np.uint64)
     keys, owners, spare = [], [], np.zeros((len(sets), 2), dtype=np.int64)
     low, high = (tokens & np.uint64(0x3FFFFFF)).astype(np.int64), ((tokens >> np.uint64(26)) & np.uint64(0x3FFFFFF)).astype(np.int64)
     plan = np.array([scheme(percent, ends[b + 1]) for b in range(len(ends) - 1)], dtype=np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
 
     def key(a, b, segment, number, kind):
-        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _mix(b.astype(np.uint64) + np.uint64(kind * 0xD1B54A32D192ED03 % (1 << 64)))
-        x = _mix(x ^ _mix(segment.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + number.astype(np.uint64)))
+        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(b.astype(np.uint64) + np.uint64(kind * 0xD1B54A32D192ED03 % (1 << 64)))
+        x = mix(x ^ mix(segment.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + number.astype(np.uint64)))
         return (x >> np.uint64(16)) & ~np.uint64(1) | (number.astype(np.uint64) & np.uint64(1))
 
     for down in (0, 1):
@@ -95,7 +93,7 @@ def keys_of(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray,
         m = np.where((sizes > 0) & (number >= 0), m, 0)
         first = np.concatenate([[0], np.cumsum(m)])
         live = m[owner] > 0
-        at = ((_mix(tokens + np.uint64(77)) >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + first[owner]
+        at = ((mix(tokens + np.uint64(77)) >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + first[owner]
         count = np.bincount(at[live], minlength=first[-1])
         a = np.bincount(at[live], weights=low[live], minlength=first[-1]).astype(np.int64)
         b = np.bincount(at[live], weights=high[live], minlength=first[-1]).astype(np.int64)
@@ -116,22 +114,25 @@ def keys_of(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray,
             keys.append(key(a[at[t]] - low[t], b[at[t]] - high[t], at[t] - first[owner[t]], number[owner[t]], 2))
             owners.append(owner[t])
             two = np.bincount(of[count > 1], minlength=len(sets))
-            wild = np.nonzero(risky & (2 * two <= differ))[0]
-            zero = np.zeros(len(wild), dtype=np.int64)
-            keys.append(key(zero, zero, zero, number[wild], 3))
-            owners.append(wild)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            for i in np.nonzero(risky & (2 * two <= differ))[0]:  # few, and small
+                x, y = (part[starts[i] : starts[i + 1]] for part in (low, high))
+                lost = [c for n in range(int(differ[i]) + 1) for c in combinations(range(len(x)), n)]
+                a_, b_ = (np.array([v.sum() - v[list(c)].sum() for c in lost], dtype=np.int64) for v in (x, y))
+                keys.append(key(a_, b_, np.zeros(len(lost), dtype=np.int64), np.full(len(lost), number[i]), 3))
+                owners.append(np.full(len(lost), i))
     return np.concatenate(keys), np.concatenate(owners), spare
 
 
 def _indexer(percent: int, buckets: int):
-    """Batches of (doc_id, cls, tokens) to (bucket, payload): HEADs of sets, then their keys of that bucket, 6 bytes each; in buckets below 0, ROWs of documents."""
+    """Batches of (doc_id, missing, cls, tokens) to (bucket, payload): HEADs of sets, then their keys of that bucket, 6 bytes each; in buckets below 0, ROWs of documents."""
 
     def flush(cls: list[int], sets: list[np.ndarray], docs: list[tuple]) -> pd.DataFrame:
         rows = [(-1 - abs(docs[0][1]) % buckets, np.array(docs, dtype=ROW).tobytes())]
         if not sets:
             return pd.DataFrame(rows, columns=["bucket", "payload"])
         keys, owners, spare = keys_of(sets, percent)
-        bucket = (_mix(keys) >> np.uint64(33)).astype(np.int64) % buckets
+        bucket = (mix(keys) >> np.uint64(33)).astype(np.int64) % buckets
         order = np.lexsort((owners, bucket))
         keys, owners, bucket = keys[order], owners[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -149,9 +150,8 @@ def _indexer(percent: int, buckets: int):
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cls, sets, docs, held, seen = [], [], [], 0, set()
         for batch in batches:
-            for doc_id, c, tokens in zip(batch["doc_id"], batch["cls"], batch["tokens"], strict=True):
-                missing = doc_id is None or doc_id != doc_id
-                docs.append((0 if missing else int(doc_id), c, len(tokens), missing))
+            for doc_id, missing, c, tokens in zip(batch["doc_id"], batch["missing"], batch["cls"], batch["tokens"], strict=True):
+                docs.append((doc_id, c, len(tokens), missing))
                 if len(tokens) and c not in seen:
                     seen.add(c)
                     cls.append(c)
@@ -262,14 +262,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def _star(runs: DataFrame, turn: int) -> DataFrame:
+    """runs beside one text of each run, its pivot, drawn by a hash that differs from turn to turn. A run may hold most texts: see join_common. runs: a written table."""
+    of = F.struct(F.xxhash64("cls", F.lit(turn)).alias("rank"), F.col("cls").alias("pivot"), F.col("size").alias("pivot_size"), *([F.col("root").alias("pivot_root")] if "root" in runs.columns else []))
+    pivots = written(runs.groupBy("run").agg(F.min(of).alias("p"), F.count("*").alias("weight")), "pivots")
+    return join_common(runs, pivots, ["run"], "weight").select(*runs.columns, "p.*").where("cls <> pivot")
+
+
 def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """docs (doc_id, text): one row for each with n_shingles and component_id."""
-    spark = docs.sparkSession
+    with batches_of(docs.sparkSession, 500):  # texts may be long
+        return _link(docs, percent, hot, bucket_tokens)
+
+
+def _link(docs: DataFrame, percent: int, hot: int, bucket_tokens: int) -> DataFrame:
     every = texts(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / TOKEN_BYTES / bucket_tokens))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # texts may be long
-    sets = every.select(F.col("doc_id").cast("long").alias("doc_id"), "cls", shingles(F.col("w")).alias("tokens"))
+    doc_id = F.col("doc_id").cast("long")
+    sets = every.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), doc_id.isNull().alias("missing"), "cls", shingles(F.col("w")).alias("tokens"))  # pandas rounds ids beside nulls
     dealt = sets.mapInPandas(_indexer(percent, buckets), "bucket int, payload binary").repartition(2 * buckets, "bucket")
     found = written(dealt.groupBy("bucket").applyInPandas(_meet(percent, hot), FOUND), "found")
     rows = found.where("odd = -1").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size_a").alias("n_shingles"))
@@ -283,15 +294,14 @@ def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens:
         pairs = pairs.join(lost.select(F.col("cls").alias(side), "odd", F.col("lost").alias(f"lost_{side}")), [side, "odd"], "left")
     least = F.greatest(*[F.col(f"spare_{s}") - F.coalesce(f"lost_{s}", F.lit(0)) for s in "ab"], F.lit(1))
     tested = written(pairs.where(F.col("n") >= least).select("a", "b"), "pairs")
-    star = lambda r, t: r.join(r.groupBy("run").agg(F.min(F.struct(F.xxhash64("cls", F.lit(t)).alias("rank"), F.col("cls").alias("pivot"), F.col("size").alias("pivot_size"), *([F.col("root").alias("pivot_root")] if "root" in r.columns else []))).alias("p")), "run").select("*", "p.*").where("cls <> pivot")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     ordered = lambda p, x, y: p.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    first = ordered(star(runs, 0).where(fits(F.col("size"), F.col("pivot_size"))), "cls", "pivot")
+    first = ordered(_star(runs, 0).where(fits(F.col("size"), F.col("pivot_size"))), "cls", "pivot")
     todo = written(tested.unionByName(first).distinct(), "todo")
     needed = todo.select(F.col("a").alias("cls")).union(todo.select("b")).union(runs.select("cls")).distinct()
     needed = written(needed, "needed")
     chosen = written(_chosen(texts(docs.where(F.col("text").rlike(WORD))), needed), "sets")
-    edges, tested, labels = None, None, None
+    edges, tested, labels, left, last = None, None, None, runs.count(), False
     for turn in range(1, STAR_ROUNDS + 2):
         if turn == 1 and todo.isEmpty() and runs.isEmpty():
             break
@@ -299,7 +309,7 @@ def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens:
         edges = good if edges is None else edges.unionByName(good)
         tested = todo if tested is None else tested.unionByName(todo)
         labels = components(edges)
-        if turn > STAR_ROUNDS or runs.isEmpty():
+        if last or runs.isEmpty():
             break
         if labels is not None:
             runs = runs.drop("root").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -308,11 +318,13 @@ def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens:
         runs = _unresolved(runs, chosen, percent)
         if runs.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            more = ordered(star(runs, turn).where((F.col("root") != F.col("pivot_root")) & fits(F.col("size"), F.col("pivot_size"))), "cls", "pivot")
+        before, left = left, runs.count()
+        if turn < STAR_ROUNDS and left <= THINNED * before:
+            more = ordered(_star(runs, turn).where((F.col("root") != F.col("pivot_root")) & fits(F.col("size"), F.col("pivot_size"))), "cls", "pivot")
         else:
-            edges = edges.unionByName(_blocks(runs, chosen, percent, star))
-            small = runs.join(_sizes(runs).where(F.col("texts") <= FEW).select("run"), "run", "left_semi")
+            last = True
+            edges = edges.unionByName(_blocks(runs, chosen, percent))
+            small = _of_length(runs, few=True)
             other = small.select("run", *[F.col(c).alias(f"{c}_2") for c in ("cls", "size", "root")])
             met = small.join(other, "run").where((F.col("cls") < F.col("cls_2")) & (F.col("root") != F.col("root_2")) & fits(F.col("size"), F.col("size_2")))
             more = ordered(met, "cls", "cls_2")
@@ -339,40 +351,45 @@ def _unresolved(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     """Runs with texts of several components, without texts that can't be linked to another component: too few of their tokens occur in any."""
 
     def split(r: DataFrame) -> DataFrame:
-        several = r.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("run")
-        return written(r.join(several, "run", "left_semi"), "runs")
+        runs = written(r.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("weight")), "roots")
+        return written(join_common(r, runs, ["run"], "weight").where("x <> y").select(*r.columns), "runs")
 
-    runs = split(runs)
+    runs = split(written(runs, "rooted"))
     for _ in range(PRUNINGS):
         if runs.isEmpty():
             break
         tokens = written(runs.select("cls", "root", "size").distinct().join(chosen, "cls").select("cls", "root", "size", F.explode("tokens").alias("token")), "tokens")
         shared = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
         able = tokens.join(shared, "token", "left_semi").groupBy("cls", "size").count().where(F.col("count") * 100 >= F.col("size") * percent).select("cls")
-        before, runs = runs, split(runs.join(able, "cls", "left_semi"))
+        before, runs = runs, split(written(runs.join(able, "cls", "left_semi"), "able"))
         drop_written(tokens)
         if 10 * runs.count() > 9 * before.count():
             break
     return runs
 
 
-def _sizes(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("run").agg(F.count("*").alias("texts"))
+def _of_length(runs: DataFrame, few: bool) -> DataFrame:
+    """The runs of at most, or of more than, FEW texts."""
+    sizes = written(runs.groupBy("run").agg(F.count("*").alias("texts")), "run-sizes")
+    return join_common(runs, sizes, ["run"], "texts").where(F.col("texts") <= FEW if few else F.col("texts") > FEW).select(*runs.columns)
 
 
-def _blocks(runs: DataFrame, chosen: DataFrame, percent: int, star) -> DataFrame:
+def _blocks(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     """Links between components among the texts of runs of more than FEW texts.
 
-    Texts that meet in such runs form clusters; blocks of BLOCK texts of like size of a cluster are compared by a product of matrices,
-    block by block. Only links leave a task.
+    Texts that meet in such runs form clusters; blocks of some BLOCK texts of like size of a cluster are compared by a product of
+    matrices, block by block. Only one link for each pair of components leaves a task.
     """
-    runs = written(runs.join(_sizes(runs).where(F.col("texts") > FEW).select("run"), "run", "left_semi"), "long-runs")
-    met = components(star(runs, 0).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    runs = written(_of_length(runs, few=False), "long-runs")
+    met = components(_star(runs, 0).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
     if met is None:
         return runs.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-    docs = runs.select("cls", "size", F.col("root").alias("part")).distinct().join(met.withColumnRenamed("root", "cluster"), "cls")
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("size", "cls"))
-    docs = written(docs.withColumn("block", F.floor((rank - 1) / BLOCK)), "blocks")
+    docs = written(runs.select("cls", "size", F.col("root").alias("part")).distinct().join(met.withColumnRenamed("root", "cluster"), "cls"), "clusters")
+    sizes = docs.groupBy("cluster", "size").agg(F.count("*").alias("weight"))  # the window orders sizes, not texts
+    before = F.sum("weight").over(Window.partitionBy("cluster").orderBy("size")) - F.col("weight")
+    sizes = written(sizes.select("cluster", "size", "weight", F.floor(before / BLOCK).alias("first"), F.ceil(F.col("weight") / BLOCK).alias("parts")), "cluster-sizes")
+    docs = join_common(docs, sizes, ["cluster", "size"], "weight")
+    docs = written(docs.select("cls", "size", "part", "cluster", (F.col("first") + F.pmod(F.xxhash64("cls", F.lit("block")), "parts")).alias("block")), "blocks")
     blocks = docs.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     left, right = blocks.select("cluster", F.col("block").alias("i"), "high"), blocks.select("cluster", F.col("block").alias("j"), "low")
     pairs = left.join(right, "cluster").where((F.col("i") <= F.col("j")) & (F.col("high") * 100 >= F.col("low") * percent))
@@ -400,7 +417,8 @@ def _blocks(runs: DataFrame, chosen: DataFrame, percent: int, star) -> DataFrame
         cls, part = rows["cls"].to_numpy(), rows["part"].to_numpy()
         good = 100 * both >= percent * (sizes[one][:, None] + sizes[two][None, :] - both)
         i, j = np.nonzero(good & (part[one][:, None] != part[two][None, :]) & (cls[one][:, None] != cls[two][None, :]))
-        x, y = cls[one][i], cls[two][j]
+        _, once = np.unique(np.stack([part[one][i], part[two][j]]), axis=1, return_index=True)
+        x, y = cls[one][i][once], cls[two][j][once]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
     return written(held.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long"), "block-links")
@@ -408,7 +426,14 @@ def _blocks(runs: DataFrame, chosen: DataFrame, percent: int, star) -> DataFrame
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The smallest id of each component, for every row."""
-    known = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("cls").alias("cls"))
+    known = rows.where("doc_id is not null and n_shingles > 0")
+    several = written(known.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("weight")).where("x <> y"), "several")
+    if not several.isEmpty():  # texts of one id
+        same = join_common(known, several, ["doc_id"], "weight").where("cls <> x").select(F.col("cls").alias("a"), F.col("x").alias("b"))
+        before = [labels.select(F.col("cls").alias("a"), F.col("root").alias("b"))] if labels is not None else []
+        for more in before:
+            same = same.unionByName(more)
+        labels = components(same)
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     if labels is not None:
         classes = classes.join(labels, "cls", "left")
@@ -425,6 +450,7 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def query(spark, sf_dir):
+    """The Jaccard join of all documents."""
     return link(table(spark, sf_dir, "documents"))
 
 
