@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, table, written
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-BITS_PER_URL, MAX_FILTER_BYTES, LANES, SALTS, MAX_RULES = 16, 8 << 20, 8, 8, 500
+BITS_PER_URL, MAX_FILTER_BYTES, LANES, SALTS, MAX_RULES = 16, 8 << 20, 8, 32, 500
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
 
@@ -88,11 +88,12 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, *, url: str = "url",
     for i, bit in enumerate(_bits(F.col("canon"))):
         hit = hit & (F.col(f"lane{i}").bitwiseAND(_set(bit)) != 0)
     possible = F.coalesce(F.col("action").isNull() & F.col("canon").isNotNull() & hit, F.lit(False))
-    # What can't be listed is dealt out by the whole row and has no key to match; a very common URL is dealt over SALTS keys.
-    spread = F.xxhash64("row")
-    rows = rows.select("row", "host", "path", "rule", "action", F.when(possible, F.col("canon")).alias("canon"), F.when(possible, F.pmod(spread, F.lit(SALTS))).otherwise(spread).alias("salt"))
+    rows = rows.select("row", "host", "path", "rule", "action", F.when(possible, F.col("canon")).alias("canon"))
+    # Only possible hits are shuffled; a very common URL is dealt over SALTS keys. All other rows stay where they were read.
+    hits = rows.where("canon is not null").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     exact = keys.select("canon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("listed"))
-    out = rows.join(exact, ["canon", "salt"], "left")
+    judged = ("row", "host", "path", "rule", "action", "listed")
+    out = hits.join(exact, ["canon", "salt"], "left").select(*judged).unionByName(rows.where("canon is null").withColumn("listed", F.lit(None).cast("boolean")).select(*judged))
     verdict = F.coalesce(F.col("action"), F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select("row.*", "host", "path", "rule", verdict.alias("verdict"))
 
