@@ -4,8 +4,8 @@ A text's features are the hashed terms it holds: its words in lower case, and th
 score is sigmoid(b + sum w_t + sum over pairs <v_s, v_t>), with the pair term by the usual square-of-sums identity, so
 that a pair such as an insult with a group's mention has a weight of its own, which a linear model lacks.
 
-The machine is fitted, in one task, on at most TRAIN_ROWS labelled rows, those with the smallest hash of their id; equal
-texts count once. Terms in at least MIN_DOCS of these texts have weights if their own chi-square with the label is at least
+The machine is fitted, in one task, on at most TRAIN_ROWS labelled rows, those with the smallest hash of their id, of which
+that task gets the hashed terms only; equal sets of terms with one label count once. Terms in at least MIN_DOCS of these texts have weights if their own chi-square with the label is at least
 CHI_SQUARE, or if the label depends on them among the texts that hold some other term (`paired`): others would be learned
 by heart. The model has a fixed size and is broadcast; every document is scored by its whole text.
 
@@ -79,13 +79,19 @@ def paired(docs: list[np.ndarray], labels: np.ndarray, terms_: np.ndarray, min_d
     return terms_[out]
 
 
-def fit(rows: list[tuple[str, int]], bits: int = BITS, rank: int = RANK, min_docs: int = MIN_DOCS, epochs: int = EPOCHS) -> dict | None:
+def fit(rows: list[tuple[str, int]], bits: int = BITS, **options) -> dict | None:
     """A model of (text, label) rows; None unless both labels occur."""
-    rows = sorted(set(rows))
+    return fit_terms([(terms(t, bits), y) for t, y in rows], bits, **options)
+
+
+def fit_terms(rows: list[tuple[np.ndarray, int]], bits: int = BITS, rank: int = RANK, min_docs: int = MIN_DOCS, epochs: int = EPOCHS) -> dict | None:
+    """A model of (terms, label) rows."""
+    once = {(d.astype("<i4").tobytes(), y) for d, y in rows}
+    rows = [(np.frombuffer(raw, "<i4").astype(np.int64), y) for raw, y in sorted(once)]
     labels = np.array([y for _, y in rows], dtype=np.float64)
     if len(set(labels)) < 2:
         return None
-    docs = [terms(t, bits) for t, _ in rows]
+    docs = [d for d, _ in rows]
     seen = np.bincount(np.concatenate(docs), minlength=1 << bits)
     toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y]), minlength=1 << bits)
     n, p = len(docs), labels.mean()
@@ -134,11 +140,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict |
     chosen = known.orderBy(F.xxhash64("labelled"), "labelled", "toxic").limit(rows)  # `rows` rows at most, so it may be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"terms": [terms(t).astype("<i4").tobytes() for t in batch["text"]], "toxic": batch["toxic"]})
+
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [(t, int(y)) for batch in batches for t, y in zip(batch["text"], batch["toxic"], strict=True)]
-        yield pd.DataFrame({"model": [pickle.dumps(fit(held))]})
+        held = [(np.frombuffer(t, "<i4").astype(np.int64), int(y)) for batch in batches for t, y in zip(batch["terms"], batch["toxic"], strict=True)]
+        yield pd.DataFrame({"model": [pickle.dumps(fit_terms(held))]})
 
-    return pickle.loads(sample.repartition(1).mapInPandas(learn, "model binary").first()[0])
+    return pickle.loads(sample.mapInPandas(hashed, "terms binary, toxic int").repartition(1).mapInPandas(learn, "model binary").first()[0])
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
