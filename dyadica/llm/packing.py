@@ -2,13 +2,19 @@
 
 A document of `length` tokens is cut at the largest permitted length; whole cuts fill a sequence each, and what remains
 is packed. Within a group of documents (dealt by a hash of the id; their number follows the input), pieces go, longest
-first, to the fullest open bin that holds them, whatever its size; where none does, another bin is opened. Each permitted
-size is tried as the one to open (a longer piece opens the smallest that holds it), each bin is downsized to the smallest
-permitted length that holds its contents, and the packing of least cost stays. A sequence of c tokens costs
-c + OVERHEAD + c * c / SPAN: a share for each token, one for each sequence, and attention's.
+first, to the fullest open bin that holds them, whatever its size. Where none does, another bin is opened: each permitted
+size that holds the piece is filled, on trial, with the longest of the pieces still to come that fit, and the size whose bin,
+downsized to its contents, then costs least for each token is opened. At the end each bin is downsized to the smallest
+permitted length that holds its contents. A group's packings that always open one size (or, for a longer piece, the next
+that holds it) are made too, and the packing of least cost stays. A sequence of c tokens costs c + OVERHEAD + c * c / SPAN:
+a share for each token, one for each sequence, and attention's.
+
+`sequences` then makes the packed sequences themselves, here of a byte-level model's tokens: a text's UTF-8 bytes and
+END, a byte that UTF-8 never has, after each document.
 
 Defined results: every row is packed, once for each time it occurs. A length that is null or below 0 counts 0; documents
-of length 0 get a row of length 0 in some bin. Texts are never shortened. Null ids are packed like others. An empty table gives no rows.
+of length 0 get a row of length 0 in some bin. Texts are never shortened; a null text is empty and still has its END. Null
+ids are packed like others. An empty table gives no rows. Of other columns only those named here are read.
 """
 
 from __future__ import annotations
@@ -24,14 +30,40 @@ from .common import table, written
 
 SIZES, OVERHEAD, SPAN, GROUP_ROWS = (2048, 4096, 8192, 16384), 64, 65536, 20_000
 SCHEMA = "doc_id long, piece int, start long, length long, bin_id long, bin_size long, bin_offset long"
+END = b"\xff"
 
 
 def cost(size: int) -> float:
     return size + OVERHEAD + size * size / SPAN
 
 
-def best_fit(lengths: list[int], opened: int, sizes=SIZES) -> list[list[int]]:
-    """Bins of positions in lengths, which is in descending order. Bins of size `opened` are opened, or of the next permitted size that holds the piece."""
+def holding(n: int, sizes=SIZES) -> int:
+    """The smallest permitted size that holds n tokens."""
+    return next(s for s in sizes if s >= n)
+
+
+def cheapest(lengths: list[int], i: int, sizes=SIZES, cost=cost) -> int:
+    """The size to open for piece i: the one that costs least for each token when the longest of the later pieces that fit fill it."""
+    best: tuple[float, int] | None = None
+    for size in sizes:
+        if size < lengths[i]:
+            continue
+        room, at = size - lengths[i], i + 1
+        while room:
+            at = bisect_left(lengths, -room, at, key=lambda n: -n)
+            if at == len(lengths) or not lengths[at]:
+                break
+            room -= lengths[at]
+            at += 1
+        held = size - room
+        each = cost(holding(held, sizes)) / max(held, 1)
+        if best is None or each < best[0]:
+            best = each, size
+    return best[1]
+
+
+def best_fit(lengths: list[int], opened: int | None = None, sizes=SIZES, cost=cost) -> list[list[int]]:
+    """Bins of positions in lengths, which is in descending order. Without `opened` each bin's size is the `cheapest`, else that size or the next that holds the piece."""
     room: list[tuple[int, int]] = []
     bins: list[list[int]] = []
     for i, n in enumerate(lengths):
@@ -39,7 +71,7 @@ def best_fit(lengths: list[int], opened: int, sizes=SIZES) -> list[list[int]]:
         if at < len(room):
             left, b = room.pop(at)
         else:
-            left, b = max(opened, next(s for s in sizes if s >= n)), len(bins)
+            left, b = cheapest(lengths, i, sizes, cost) if opened is None else max(opened, holding(n, sizes)), len(bins)
             bins.append([])
         bins[b].append(i)
         if left - n:
@@ -50,8 +82,8 @@ def best_fit(lengths: list[int], opened: int, sizes=SIZES) -> list[list[int]]:
 def pack(lengths: list[int], sizes=SIZES, cost=cost) -> list[tuple[int, list[int]]]:
     """(size, positions) of the bins for lengths, none above the largest size, in descending order."""
     best: tuple[float, list] | None = None
-    for opened in sizes:
-        sized = [(next(s for s in sizes if s >= sum(lengths[i] for i in b)), b) for b in best_fit(lengths, opened, sizes)]
+    for opened in (None, *sizes):
+        sized = [(holding(sum(lengths[i] for i in b), sizes), b) for b in best_fit(lengths, opened, sizes, cost)]
         total = sum(cost(s) for s, _ in sized)
         if best is None or total < best[0]:
             best = total, sized
@@ -66,8 +98,8 @@ def pack_documents(docs: DataFrame, sizes=SIZES, cost=cost, group_rows: int = GR
     groups = max(1, math.ceil(docs.count() / group_rows))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id"], ascending=[False, True], kind="stable")
-        ids, totals = rows["doc_id"].tolist(), rows["length"].tolist()
+        rows = rows.sort_values(["length", "missing", "doc_id"], ascending=[False, True, True], kind="stable")
+        ids, totals = [None if m else i for i, m in zip(rows["doc_id"].tolist(), rows["missing"].tolist(), strict=True)], rows["length"].tolist()
         out, n, base = [], 0, key[0] << 32
         rest = []
         for i, total in enumerate(totals):
@@ -93,8 +125,10 @@ def pack_documents(docs: DataFrame, sizes=SIZES, cost=cost, group_rows: int = GR
     # Only rows that repeat an id fill a group far beyond group_rows: such groups are dealt on, row by row.
     large = written(dealt.groupBy("group").agg(F.ceil(F.count("*") / F.lit(group_rows)).alias("parts")).where("parts > 2"), "large-groups")
     spread = dealt.withColumn("row", F.monotonically_increasing_id()).join(large, "group", "left")
-    spread = spread.withColumn("group", F.col("group") + groups * F.pmod("row", F.coalesce("parts", F.lit(1)))).drop("row", "parts")
-    return spread.groupBy("group").applyInPandas(one, SCHEMA)
+    spread = spread.withColumn("group", F.col("group") + groups * F.pmod("row", F.coalesce("parts", F.lit(1))))
+    # A null id beside large ones would make pandas round them.
+    rows = spread.select("group", "length", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"))
+    return rows.groupBy("group").applyInPandas(one, SCHEMA)
 
 
 def byte_lengths(docs: DataFrame) -> DataFrame:
@@ -102,9 +136,26 @@ def byte_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("length"))
 
 
+def sequences(docs: DataFrame, sizes=SIZES, cost=cost, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The packed sequences of docs (doc_id, text): bin_id, bin_size, n_tokens, doc_ids, starts (of each document's piece in the text), offsets (in the sequence) and tokens (binary).
+
+    Rows are known by numbers of their own, so ids may repeat. Texts are shuffled once to their places and once to their sequences, which hold bin_size bytes at most.
+    """
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    lengths = rows.select(F.col("row").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("length"))
+    placed = pack_documents(lengths, sizes, cost, group_rows).withColumnRenamed("doc_id", "row")
+    whole = F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.lit(END))
+    pieces = placed.join(rows, "row").select("bin_id", "bin_size", F.struct("bin_offset", "doc_id", "start", whole.substr((F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("bytes")).alias("p"))
+    bins = pieces.groupBy("bin_id", "bin_size").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    tokens = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"]))
+    part = lambda c: F.transform("p", lambda x: x[c])
+    return bins.select("bin_id", "bin_size", F.octet_length(tokens).cast("long").alias("n_tokens"), part("doc_id").alias("doc_ids"), part("start").alias("starts"), part("bin_offset").alias("offsets"), tokens.alias("tokens"))
+
+
 def query(spark, sf_dir):
     return pack_documents(byte_lengths(table(spark, sf_dir, "documents")))
 
 
 def stage(spark, docs, sf_dir):
-    return pack_documents(byte_lengths(docs))
+    """The packed sequences, each with the ids of its documents."""
+    return sequences(docs)
