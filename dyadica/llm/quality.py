@@ -1,7 +1,9 @@
 """Quality rules: text statistics, and the log-likelihood ratio of hashed n-grams. DataFrame operations only.
 
 Tokens are runs of letters, digits and `_`, or runs of other visible characters. Unigrams and bigrams are hashed into
-BUCKETS; two multinomials with add-one smoothing count them, one over all documents, one over trusted documents. A
+buckets, whose number grows with the square root of the corpus's bytes, as vocabularies do (`buckets_of`); two multinomials
+with add-one smoothing count them, one over all documents, one over trusted documents. The log ratios are broadcast, 4 bytes
+a bucket: 4 MB for 30 GB, 256 MB for 100 TB. A
 document's score is the mean, over its n-grams, of ln P_trusted - ln P_raw; it is kept if the score is at least THRESHOLD.
 Every document is judged the same way, by whole text. The trusted multinomial is fitted on at most TRUSTED_ROWS trusted
 rows, those with the smallest hash of their id; raw counts cover all documents.
@@ -13,12 +15,14 @@ whose own columns replace those of the same name.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, words
+from .common import WORD, let, table, words, written
 
-BUCKETS, TRUSTED_ROWS, THRESHOLD = 1 << 14, 50_000, -0.25
+BUCKETS, PER_ROOT, TRUSTED_ROWS, THRESHOLD = 1 << 14, 4, 50_000, -0.25
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -51,6 +55,11 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def buckets_of(size: int) -> int:
+    """Buckets for a corpus of so many bytes: a power of two, BUCKETS at least."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(max(PER_ROOT * math.sqrt(size), 1))))
+
+
 def grams(text: Column, buckets: int = BUCKETS) -> Column:
     """The buckets of a text's unigrams and bigrams."""
     h = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
@@ -64,18 +73,19 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_
     flagged = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
     each = flagged.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(grams(F.col("text"), buckets)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left").na.fill(0)
-    cells = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
-    return cells.select(F.transform("c", lambda x: F.ln((x["target"] + 1) / (F.col("t") + buckets)) - F.ln((x["raw"] + 1) / (F.col("r") + buckets))).alias("ratio"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
+    cells = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("r"), F.sum("target").alias("t"))  # `buckets` cells
+    return cells.select(F.transform("c", lambda x: (F.ln((x["target"] + 1) / (F.col("t") + buckets)) - F.ln((x["raw"] + 1) / (F.col("r") + buckets))).cast("float")).alias("ratio"))
 
 
-def score(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, *, buckets: int | None = None, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """docs (doc_id, text, ...) with the base measures, base_failed, llr and kept. trusted: doc_id of trusted documents."""
-    made = (*MEASURES, "base_failed", "llr", "kept", "found", "sum")
-    ratio = ratios(docs, trusted, buckets, trusted_rows).first()[0]  # `buckets` numbers; they become a constant of the plan
-    table_ = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")
-    mean = let(grams(F.col("text"), buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(table_, b)) / F.greatest(F.size(g), F.lit(1)))
-    rows = docs.select(*[c for c in docs.columns if c not in made], *[c.alias(k) for k, c in measures(F.col("text")).items()], mean.alias("llr"))
+    made = (*MEASURES, "base_failed", "llr", "kept", "found", "_ratio")
+    buckets = buckets or buckets_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    ratio = written(ratios(docs, trusted, buckets, trusted_rows).withColumnRenamed("ratio", "_ratio"), "ratios")
+    mean = let(grams(F.col("text"), buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get("_ratio", b)) / F.greatest(F.size(g), F.lit(1)))
+    rows = docs.drop("_ratio").crossJoin(F.broadcast(ratio))  # one row
+    rows = rows.select(*[c for c in docs.columns if c not in made], *[c.alias(k) for k, c in measures(F.col("text")).items()], mean.alias("llr"))
     rows = rows.withColumns({"n_words": F.col("found.n"), "n_repeat_words": F.col("found.r")}).drop("found")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
