@@ -1,13 +1,14 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by (page_id, payload digest): cuts of equal bytes come from counts over ever finer ranges of
-the id, so they depend on the rows alone. A task writes the records of its range in order, each as a gzip member, and
-begins another file when one has `roll_bytes` of compressed bytes. A file is written under a temporary name and then
-moved to its final one; each range then gets a manifest (files, records, bytes, digest) in the same way. A task that is
-run again writes the same bytes to the same names. Readers read what manifests list.
+Records are range-sorted by (page_id, a hash of payload and URL): cuts of equal bytes come from counts over ever finer
+ranges of the id and, for an id that alone fills more than a range, of that hash; so they depend on the rows alone. A task
+gets one range, writes its records in order, each as a gzip member, and begins another file when one has `roll_bytes` of
+compressed bytes. A file is written under a temporary name and then moved to its final one; each range then gets a manifest
+(files, records, bytes, digest) in the same way. A task that is run again writes the same bytes to the same names. Readers
+read what manifests list. Further copies of a row that is a thousandth of all rows are revisits in ranges after the others.
 
 Of records with equal payloads (SHA-1 and length) of at least `revisit_from` bytes, the first by page_id is a response,
-the others are revisits of it, whose HTTP head still has the payload's length. The digest and the length in headers are
+the others are revisits of it, whose HTTP head still has the payload's length (of rows with that id, the one with the smallest url). The digest and the length in headers are
 always made anew from the payload.
 
 Defined results: a null html is an empty payload, a null url an empty target URI (line breaks in it become `%0A`, `%0D`); null ids come first and are
@@ -21,16 +22,20 @@ import base64
 import hashlib
 import json
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import fresh_path, table, written
+from .common import fresh_path, join_common, table, written
 
-ROLL_BYTES, RANGE_BYTES, FINER = 512 << 20, 1 << 30, 1024
+ROLL_BYTES, RANGE_BYTES, FINER, LAST = 512 << 20, 1 << 30, 1024, (1 << 63) - 1
+NOTE, PAGE, AGAIN = 0, 1, 2
+SAME = ("page_id", "url", "digest")
+#: Where a row is sorted: null ids first.
+PLACE = {"id": "coalesce(page_id, -9223372036854775807 - 1)", "sub": "shiftrightunsigned(xxhash64(digest, url), 1)"}
 DATE = "1970-01-01T00:00:00Z"  # of every record: archives of equal rows are equal
 VERSION = "WARC/1.1"
 
@@ -41,55 +46,54 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def cuts(rows: DataFrame, target: int) -> list[int]:
-    """Upper ends of ranges of `id` with about `target` of `weight` each. One id's rows are never parted."""
-    whole = rows.agg(F.min("id"), F.max("id")).first()
-    if whole[0] is None:
-        return []
-    todo, ends = [(whole[0], whole[1])], []
-    while todo:  # a round for each factor FINER between the table's and a range's span
-        spans = [(lo, hi, max(1, -(-(hi - lo + 1) // FINER))) for lo, hi in todo]
-        bounds = rows.sparkSession.createDataFrame(spans, "lo long, hi long, step long")
-        inside = rows.join(F.broadcast(bounds), (F.col("id") >= F.col("lo")) & (F.col("id") <= F.col("hi")))  # as many as ranges that are too large
-        cells = inside.groupBy("lo", "step", F.expr("(id - lo) div step").alias("cell")).agg(F.sum("weight").alias("weight")).orderBy("lo", "cell").collect()
-        todo, total = [], 0
+def _cuts(rows: DataFrame, spans: list[tuple[int, int, int]], target: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Upper ends (prefix, value) of ranges of about `target` of `weight` within spans (prefix, low, high), by counts over ever finer cells; and the values that weigh more alone. rows: prefix, value, weight."""
+    todo, ends, heavy = spans, [], []
+    while todo:  # a round for each factor FINER between a span's width and a range's
+        steps = [(p, lo, hi, -(-(hi - lo + 1) // FINER)) for p, lo, hi in todo]
+        bounds = rows.sparkSession.createDataFrame(steps, "prefix long, lo long, hi long, step long")  # as many as ranges that are too large
+        inside = rows.join(F.broadcast(bounds), (rows["prefix"] == bounds["prefix"]) & rows["value"].between(bounds["lo"], bounds["hi"])).drop(rows["prefix"])
+        cell = F.expr("CAST((CAST(value AS DECIMAL(20)) - lo) div step AS LONG)")
+        cells = inside.groupBy("prefix", "lo", "step", cell.alias("cell")).agg(F.sum("weight").alias("weight")).orderBy("prefix", "lo", "cell").collect()
+        todo, total, at = [], 0, None
         for c in cells:
-            first = c["lo"] + c["cell"] * c["step"]
-            if c["weight"] > target and c["step"] > 1:
-                ends += [first - 1]
-                todo.append((first, first + c["step"] - 1))
-                ends += [first + c["step"] - 1]
+            first, last = c["lo"] + c["cell"] * c["step"], c["lo"] + (c["cell"] + 1) * c["step"] - 1
+            if at != (c["prefix"], c["lo"]):
+                at, total = (c["prefix"], c["lo"]), 0
+            if c["weight"] > target:
+                ends += [(c["prefix"], first - 1), (c["prefix"], last)]
+                if c["step"] > 1:
+                    todo.append((c["prefix"], first, last))
+                else:
+                    heavy.append(first)
                 total = 0
                 continue
             if total and total + c["weight"] > target:
-                ends.append(first - 1)
+                ends.append((c["prefix"], first - 1))
                 total = 0
             total += c["weight"]
-    return sorted(set(ends))
+    return ends, heavy
 
 
-def first_pages(rows: DataFrame) -> DataFrame:
-    """(page_id, digest, size, refers_to) for revisits. rows: page_id, digest, size. Very common payloads are handled by a broadcast: 1,000 at most hold a thousandth of the rows each."""
-    groups = written(rows.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "payloads")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    common = F.col("n") * 1000 >= total
-    keys = ["digest", "size"]
-    hot = groups.where(common).limit(1000)
-    marked = rows.join(F.broadcast(hot.select(*keys, F.col("refers_to").alias("hot_to"), F.lit(True).alias("hot"))), keys, "left")
-    out = marked.where("hot").select("page_id", *keys, F.col("hot_to").alias("refers_to"))
-    return out.unionByName(marked.where("hot is null").join(groups.where(~common), keys).select("page_id", *keys, "refers_to"))
+def cuts(rows: DataFrame, target: int) -> list[tuple[int, int]]:
+    """Upper ends (id, sub) of ranges with about `target` of `weight` each. rows: id, sub (0 or above), weight. Only rows alike in both are never parted."""
+    whole = rows.agg(F.min("id"), F.max("id")).first()
+    if whole[0] is None:
+        return []
+    ends, heavy = _cuts(rows.select(F.lit(0).cast("long").alias("prefix"), F.col("id").alias("value"), "weight"), [(0, whole[0], whole[1])], target)
+    within, _ = _cuts(rows.select(F.col("id").alias("prefix"), F.col("sub").alias("value"), "weight"), [(i, 0, LAST) for i in heavy], target) if heavy else ([], [])
+    return sorted({*((e, LAST) for _, e in ends), *(e for e in within if e[1] >= 0)})
 
 
-def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
-    """One WARC record, not compressed."""
-    name = "null" if page_id is None else str(page_id)
-    size = len(payload)
+def record(kind: str, page_id: str | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: str | None = None) -> bytes:
+    """One WARC record, not compressed. size: the payload's, which a revisit doesn't hold."""
+    name = page_id or "null"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head + payload if kind == "response" else head
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{name}:{digest}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Page-ID: {name}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1(block)}"]
     if kind == "revisit":
-        to = "null" if refers_to is None else str(refers_to)
+        to = refers_to or "null"
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{to}:{digest}>", f"WARC-Refers-To-Page: {to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -106,33 +110,65 @@ def member(data: bytes) -> bytes:
 
 
 def write(pages: DataFrame, *, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES, revisit_from: int = 0, folder: str | None = None) -> str:
-    """Archives of pages (page_id, url, html) in `folder` (default: a new one among the shared ones), which is returned."""
+    """Archives of pages (page_id, url, html) in `folder`, which is returned; by default a new one among the shared ones, which is deleted when the application ends."""
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    facts = written(pages.select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.octet_length("html").cast("long").alias("size")), "digests")
-    ends = cuts(facts.select(F.col("page_id").alias("id"), (F.col("size") + 500).alias("weight")), range_bytes)
-    # A revisit's target comes as a row of its own, sorted before the page: so html is shuffled once.
-    notes = first_pages(facts.where(F.col("size") >= revisit_from))
-    shape = notes.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(0).alias("kind"))
-    rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(shape)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    pages = pages.withColumns({"digest": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html").cast("long")})
+    facts = written(pages.groupBy(*SAME, "size").agg(F.count("*").alias("n")), "facts")  # without html
+    groups = facts.where(F.col("size") >= revisit_from).groupBy("digest", "size").agg(F.min(F.struct("page_id", "url")).alias("first"), F.sum("n").alias("weight"))
+    groups = written(groups.where("weight > 1"), "payloads")
+    revisit = F.col("first").isNotNull() & ~(F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first.url").eqNullSafe(F.col("url")))
+    facts = join_common(facts, groups, ["digest", "size"], "weight").select(*SAME, "size", "n", F.col("first.page_id").alias("refers_to"), revisit.alias("revisit"))
+    facts = written(facts.withColumns({k: F.expr(v) for k, v in PLACE.items()}), "decided")
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    ends = cuts(facts.select("id", "sub", (F.when(F.col("revisit"), 0).otherwise(F.col("size")) + 500 * F.col("n")).alias("weight")), range_bytes)
+
+    # Payloads with a thousandth of all rows: their revisits are known where pages are read, and lose their html there.
+    hot = F.broadcast(groups.where(F.col("weight") * 1000 >= total).limit(1000).select("digest", "size", "first"))
+    known = pages.join(hot, ["digest", "size"], "left").withColumn("revisit", revisit)
+    shape = ["page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "digest", "size", F.when(F.col("revisit"), F.col("first.page_id")).alias("refers_to"), F.when(F.col("revisit"), AGAIN).otherwise(PAGE).alias("kind"), F.lit(1).cast("long").alias("n")]
+    rows = known.select(*shape).withColumns({k: F.expr(v) for k, v in PLACE.items()})
+    # A row that is so common itself is one row, and its further copies are revisits in ranges of their own.
+    many = facts.where((F.col("n") > 1) & (F.col("size") >= revisit_from) & (F.col("n") * 1000 >= total)).limit(1000).orderBy(*SAME).collect()
+    more, ranges = [], len(ends) + 1
+    if many:
+        common = spark.createDataFrame([tuple(r[c] for c in SAME) for r in many], "page_id long, url string, digest binary")
+        alike = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SAME]
+        marked = rows.join(F.broadcast(common.select(*[F.col(c).alias(f"_{c}") for c in SAME])), alike, "left")
+        columns = rows.columns
+        once = marked.where("_digest is not null").groupBy(*[c for c in columns if c != "html"]).agg(F.min("html").alias("html"))
+        rows = marked.where("_digest is null").select(*columns).unionByName(once)
+        step = max(1, range_bytes // 500)
+        for r in many:
+            to = r["refers_to"]
+            for at in range(0, r["n"] - 1, step):
+                more.append((r["page_id"], r["url"], None, r["digest"], r["size"], to, AGAIN, min(step, r["n"] - 1 - at), ranges))
+                ranges += 1
+    # Other revisits are told by rows of their own, sorted before their pages: so html is shuffled once.
+    notes = facts.where("revisit").join(hot.select("digest", "size"), ["digest", "size"], "left_anti")
+    notes = notes.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "size", "refers_to", F.lit(NOTE).alias("kind"), F.lit(1).cast("long").alias("n"), "id", "sub")
     shared = spark.sparkContext.broadcast(ends)
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        import numpy as np
-
-        found = np.searchsorted(np.array(shared.value, dtype="int64"), ids.fillna(-(2**63)).astype("int64").to_numpy())
-        return pd.Series(found.astype("int32"))
-
-    sorted_rows = rows.withColumn("range", range_of(F.col("page_id").cast("long"))).repartition(max(1, len(ends) + 1), "range").sortWithinPartitions("range", F.col("page_id").asc_nulls_first(), "digest", "kind", "refers_to", "url")
+    def range_of(ids: pd.Series, subs: pd.Series) -> pd.Series:
+        return pd.Series([bisect_left(shared.value, at) for at in zip(ids.tolist(), subs.tolist(), strict=True)], dtype="int32")
+
+    placed = rows.unionByName(notes).withColumn("range", range_of("id", "sub"))
+    if more:
+        extra = spark.createDataFrame(more, "page_id long, url string, html string, digest binary, size long, refers_to long, kind int, n long, range int")
+        placed = placed.unionByName(extra.withColumns({k: F.expr(v) for k, v in PLACE.items()}))
+    order = ["range", F.col("page_id").asc_nulls_first(), "sub", "digest", F.col("url").asc_nulls_first(), "kind"]
+    dealt = placed.repartitionById(ranges, F.col("range")).sortWithinPartitions(*order)
+    # Ids go as strings: pandas would round them beside nulls.
+    sorted_rows = dealt.select("range", F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", "size", F.col("refers_to").cast("string").alias("refers_to"), "kind", "n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
-        state: dict = {"range": None, "out": None, "files": [], "note": None}
+        state: dict = {"range": None, "out": None, "files": [], "note": None, "served": None}
 
         def commit(temporary: str, final: str) -> None:
             try:
@@ -144,7 +180,7 @@ def write(pages: DataFrame, *, roll_bytes: int = ROLL_BYTES, range_bytes: int =
             if state["out"] is not None:
                 state["out"].close()
                 commit(state["temporary"], f"{root}/{state['name']}")
-                state["files"].append({"file": state["name"], "records": state["records"], "bytes": state["bytes"], "sha1": sha1_of.hexdigest()})
+                state["files"].append({"file": state["name"], "records": state["records"], "bytes": state["bytes"], "sha1": state["sha1"].hexdigest()})
                 state["out"] = None
 
         def finish():
@@ -157,39 +193,45 @@ def write(pages: DataFrame, *, roll_bytes: int = ROLL_BYTES, range_bytes: int =
                 commit(temporary, final)
                 return pd.DataFrame(state["files"]).assign(range=state["range"])[["range", "file", "records", "bytes", "sha1"]]
 
+        def put(data: bytes) -> None:
+            if state["out"] is not None and state["bytes"] >= roll_bytes:
+                close()
+            if state["out"] is None:
+                name = f"part-{state['range']:08d}-{len(state['files']):06d}.warc.gz"
+                temporary = f"{root}/{name}.{uuid.uuid4().hex}.tmp"
+                state.update(name=name, temporary=temporary, out=system.open_output_stream(temporary, compression=None), records=0, bytes=0, sha1=hashlib.sha1())
+            state["out"].write(data)
+            state["sha1"].update(data)
+            state["records"] += 1
+            state["bytes"] += len(data)
+
         for batch in batches:
-            for at, page_id, url, html, digest, refers_to, kind in zip(batch["range"], batch["page_id"], batch["url"], batch["html"], batch["digest"], batch["refers_to"], batch["kind"], strict=True):
-                page_id = None if pd.isna(page_id) else int(page_id)
+            for at, page_id, url, html, digest, size, refers_to, kind, n in zip(*(batch[c] for c in ("range", "page_id", "url", "html", "digest", "size", "refers_to", "kind", "n")), strict=True):
+                page_id, url, refers_to = (None if pd.isna(x) else x for x in (page_id, url, refers_to))
                 if at != state["range"]:
                     if (done := finish()) is not None:
                         yield done
-                    state |= {"range": int(at), "files": [], "note": None}
-                if kind == 0:
-                    state["note"] = (page_id, digest, None if pd.isna(refers_to) else int(refers_to))
-                    state["served"] = False
+                    state.update(range=int(at), files=[], note=None, served=None)
+                row = (page_id, url, digest)
+                if kind == NOTE:
+                    state["note"] = (row, refers_to)
                     continue
-                if state["out"] is not None and state["bytes"] >= roll_bytes:
-                    close()
-                if state["out"] is None:
-                    name = f"part-{state['range']:08d}-{len(state['files']):06d}.warc.gz"
-                    temporary = f"{root}/{name}.{uuid.uuid4().hex}.tmp"
-                    state |= {"name": name, "temporary": temporary, "out": system.open_output_stream(temporary, compression=None), "records": 0, "bytes": 0}
-                    sha1_of = hashlib.sha1()
-                payload, own, to = html.encode(), base64.b32encode(digest).decode(), None
-                revisit = state["note"] is not None and state["note"][:2] == (page_id, digest)
-                if revisit:
-                    to = state["note"][2]
-                    if to == page_id and not state["served"]:  # the first of the group itself
-                        revisit, state["served"] = False, True
-                data = member(record("revisit" if revisit else "response", page_id, url, payload, own, to))
-                state["out"].write(data)
-                sha1_of.update(data)
-                state["records"] += 1
-                state["bytes"] += len(data)
+                own = base64.b32encode(digest).decode()
+                if kind == AGAIN:
+                    data = record("revisit", page_id, url, None, size, own, refers_to)
+                elif state["note"] is not None and state["note"][0] == row:
+                    data = record("revisit", page_id, url, None, size, own, state["note"][1])
+                elif state["served"] == row and size >= revisit_from:  # a further copy of the group's first
+                    data = record("revisit", page_id, url, None, size, own, page_id)
+                else:
+                    data, state["served"] = record("response", page_id, url, html.encode(), size, own), row
+                data = member(data)
+                for _ in range(n):
+                    put(data)
         if (done := finish()) is not None:
             yield done
 
-    written(sorted_rows.select("range", "page_id", "url", "html", "digest", "refers_to", "kind").mapInPandas(run, "range int, file string, records long, bytes long, sha1 string"), "manifest")
+    written(sorted_rows.mapInPandas(run, "range int, file string, records long, bytes long, sha1 string"), "manifest")
     return folder
 
 
@@ -243,14 +285,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = filesystem(folder)
-        number = lambda x: None if x in (None, "null") else int(x)
+        number = lambda x: pd.NA if x in (None, "null") else int(x)
         for batch in batches:
             for path in batch["path"]:
                 rows, held = [], 0
 
                 def frame(rows):
+                    types = {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"}  # set before pandas can round
                     names = [c.split()[0] for c in shape.split(", ")]
-                    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+                    return pd.DataFrame({c: pd.Series(v, dtype=types.get(c, object)) for c, v in zip(names, zip(*rows, strict=True), strict=True)})
 
                 with system.open_input_stream(path, compression=None) as f:
                     for headers, block in parse(f):
@@ -273,8 +316,13 @@ def query(spark, sf_dir):
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Base32 of the SHA-1: 8 groups of 5 hexadecimal digits, each 4 characters.
 SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-f AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
-SELECT page_id, payload_bytes, digest AS hex, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+f AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+g AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(digest, 5 * i + 1, 5) AS BIGINT)) AS parts FROM f)
+SELECT page_id, payload_bytes,
+  list_reduce(list_transform(parts, lambda v: list_reduce(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM g
 """
