@@ -22,4 +22,4 @@ QUERIES = {
     "op10_neighbours": neighbours.query,
     "pipeline": _pipeline,
 }
-SQL = {"op1_url_filter": url_filter.SQL, "op6_chat_format": chat.SQL}
+SQL = {"op1_url_filter": url_filter.SQL, "op3_sharding": sharding.SQL, "op6_chat_format": chat.SQL, "op8_warc": warc.SQL}
