@@ -6,8 +6,8 @@ that a pair such as an insult with a group's mention has a weight of its own, wh
 
 The machine is fitted, in one task, on at most TRAIN_ROWS labelled rows, those with the smallest hash of their id, of which
 that task gets the hashed terms only; equal sets of terms with one label count once. Terms in at least MIN_DOCS of these texts have weights if their own chi-square with the label is at least
-CHI_SQUARE, or if the label depends on them among the texts that hold some other term (`paired`): others would be learned
-by heart. The model has a fixed size and is broadcast; every document is scored by its whole text.
+CHI_SQUARE, or if the label depends on them among the texts that hold some other term (`paired`, tested on at most PAIR_ROWS of the
+texts, for terms in at least PAIR_DOCS of those): others would be learned by heart. The model has a fixed size and is broadcast; every document is scored by its whole text.
 
 Defined results: a null or empty text gets the score of no terms (the bias); labels that are null are not used; without
 labels of both kinds every score is 0. Equal texts get equal scores. Other columns pass through `score`, whose own
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BITS, RANK, TRAIN_ROWS, MIN_DOCS, CHI_SQUARE, PAIR_ODDS, EPOCHS, RATE, DECAY, SEED = 18, 4, 20_000, 4, 15.0, 20, 12, 0.05, 1e-4, 7
+BITS, RANK, TRAIN_ROWS, MIN_DOCS, CHI_SQUARE, PAIR_ODDS, PAIR_ROWS, PAIR_DOCS, EPOCHS, RATE, DECAY, SEED = 18, 4, 20_000, 4, 15.0, 20, 4_000, 8, 12, 0.05, 1e-4, 7
 TERM = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5)
 
@@ -94,12 +94,14 @@ def fit_terms(rows: list[tuple[np.ndarray, int]], bits: int = BITS, rank: int =
     docs = [d for d, _ in rows]
     seen = np.bincount(np.concatenate(docs), minlength=1 << bits)
     toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y]), minlength=1 << bits)
+    rng = np.random.default_rng(SEED)
     n, p = len(docs), labels.mean()
     share = np.maximum(seen * p * (1 - p) * (1 - seen / n), 1e-9)
     used = (seen >= min_docs) & ((toxic - seen * p) ** 2 / share >= CHI_SQUARE)
-    used[paired(docs, labels, np.nonzero(seen >= min_docs)[0], min_docs)] = True
+    some = rng.permutation(n)[:PAIR_ROWS]
+    often = np.bincount(np.concatenate([docs[i] for i in some]), minlength=1 << bits) >= PAIR_DOCS
+    used[paired([docs[i] for i in some], labels[some], np.nonzero(often)[0], min_docs)] = True
     docs = [d[used[d]] for d in docs]
-    rng = np.random.default_rng(SEED)
     w, v, b = np.zeros(1 << bits), rng.normal(0, 0.01, (1 << bits, rank)), float(np.log(labels.mean() / (1 - labels.mean())))
     gw, gv = np.full(1 << bits, 1e-8), np.full((1 << bits, rank), 1e-8)
     for _ in range(epochs):
