@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+from . import reports
 from .dialect import DUCKDB, SPARK, Dialect
 from .functions.formulas import harmonic, p_value, predicted_overlap
+from .functions.labels import family
 from .operators.relations import sql
 
 TABLES = ("conversations", "documents", "labels")
@@ -33,8 +35,7 @@ def counted(keys: str, source: str) -> str:
       FROM {source} GROUP BY {keys}) x"""
 
 
-FAMILY = """CASE WHEN name LIKE '%ltg%' OR name LIKE '%babyberta%' THEN 'child-scale' WHEN name LIKE '%roberta%' THEN 'RoBERTa' WHEN name LIKE '%distil%' AND name LIKE '%bert%' THEN 'DistilBERT' WHEN name LIKE '%bert%' THEN 'BERT'
-  WHEN name LIKE '%gpt%' THEN 'GPT' WHEN name LIKE '%t5%' AND arch = 'seq2seq' THEN 'T5' WHEN arch = 'mlm' THEN 'other MLM' WHEN arch = 'ar' THEN 'other AR' ELSE 'other' END"""
+FAMILY = family("name", "arch")
 MODELS = "(VALUES ('ltg/ltg-bert-bnc', 'mlm'), ('roberta-base', 'mlm'), ('distilbert-base', 'mlm'), ('bert-base', 'mlm'), ('gpt2', 'ar'), ('google/t5-base', 'seq2seq'), ('x/opt', 'ar'), ('y/electra', 'mlm')) AS m(name, arch)"
 STARS = "CASE WHEN p IS NULL THEN '' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"
 
@@ -76,7 +77,7 @@ def texts(d: Dialect) -> dict[str, str]:
     q["readouts"] = "SELECT session, line_num, pair_index, CASE WHEN p_the >= p_a THEN 'the' ELSE 'a' END AS determiner_argmax, CASE WHEN p_a >= p_the THEN 'a' ELSE 'the' END AS first_argmax, round(p_a + p_the, 9) AS mass_on_both, round(-ln(p_the), 9) AS surprisal_the, round(-ln(p_the) / ln(2.0), 9) AS bits_the, round(2 * abs(p_the - 0.5), 9) AS confidence FROM distribution"
     q["sampled"] = "SELECT session, line_num, pair_index, CASE WHEN ((session * 7919 + line_num * 104729 + pair_index * 1299709 + 17) % 1000003) / 1000003.0 < p_a THEN 'a' ELSE 'the' END AS drawn FROM distribution"
     # Analytical metrics
-    product = "exp(sum(ln(greatest({0}, 1e-300))))"
+    product = "exp(sum(CASE WHEN {0} IS NOT NULL THEN ln(greatest({0}, 1e-300)) END))"
     q["analytical_overlap"] = f"SELECT x.dyad, x.speaker, x.n, x.s, round(x.bias, 9) AS bias, round(x.empirical, 9) AS empirical, round(x.accuracy, 9) AS accuracy, round({predicted_overlap(d, 'n', 's', 'bias', 'h')}, 9) AS predicted FROM (SELECT *, {harmonic(d, 'n')} AS h FROM (SELECT dyad, speaker, count(*) AS n, sum(k) AS s, sum(greatest(sa, st)) / sum(k) AS bias, avg(coalesce(greatest(0.0, ov), 0.0)) AS empirical, sum(correct) / CAST(sum(k) AS DOUBLE) AS accuracy FROM (SELECT dyad, speaker, noun, count(*) AS k, sum(p_a) AS sa, sum(p_the) AS st, 1 - {product.format('p_the')} - {product.format('p_a')} AS ov, count(CASE WHEN (CASE WHEN p_the >= 0.5 THEN 'the' ELSE 'a' END) = det THEN 1 END) AS correct FROM distribution GROUP BY dyad, speaker, noun) g GROUP BY dyad, speaker) y) x"
     q["analytical_tpr"] = "SELECT t.dyad, t.speaker, count(*) AS n_total, round(avg(abs(CASE WHEN t.previous_det = 'the' THEN 1 ELSE 0 END - p.p_the)), 9) AS tpr_overall, round(avg(CASE WHEN t.previous_det = 'a' THEN p.p_the END), 9) AS tpr_the, round(avg(CASE WHEN t.previous_det = 'the' THEN 1 - p.p_the END), 9) AS tpr_a FROM transitions t JOIN distribution p ON t.session = p.session AND t.line_num = p.line_num AND t.pair_index = p.pair_index GROUP BY t.dyad, t.speaker"
     # Distance and window
@@ -105,6 +106,7 @@ def texts(d: Dialect) -> dict[str, str]:
     q["sig_stars"] = f"SELECT p, {STARS} AS stars, p > 0.05 AS passes FROM (VALUES (CAST(0.0001 AS DOUBLE)), (0.005), (0.04), (0.05), (0.2), (NULL)) AS v(p)"
     q["unique_labels"] = f"SELECT name, arch, CASE WHEN count(*) OVER (PARTITION BY family) > 1 THEN concat(family, ' ', CAST(row_number() OVER (PARTITION BY family ORDER BY name) AS STRING)) ELSE family END AS label FROM (SELECT name, arch, {FAMILY} AS family FROM {MODELS}) x"
     q["unmatched"] = "SELECT s.session, s.line_num, s.pair_index FROM sites s LEFT ANTI JOIN transitions t ON s.session = t.session AND s.line_num = t.line_num AND s.pair_index = t.pair_index" if d.spark else "SELECT s.session, s.line_num, s.pair_index FROM sites s ANTI JOIN transitions t ON s.session = t.session AND s.line_num = t.line_num AND s.pair_index = t.pair_index"
+    q.update(reports.texts(d))
     return q
 
 
@@ -138,7 +140,7 @@ def _clean(spark, sf_dir):
 
 #: Columns whose whole-number types differ between the engines; both cast them.
 LONG = {"overlap_counts": ["n_tokens"], "yang_predicted": ["s"], "true_dist": ["true_dist"], "context_budget": ["tokens"], "running_tokens": ["upto"], "tpr_totals": ["n_total", "n_switch"], "tpr_dyad_table": ["n_child"],
-        "analytical_overlap": ["s"], "tpr_by_k": ["n_cases"], "window_asof": ["at_dist", "n_cases"]}
+        "analytical_overlap": ["s"], "tpr_by_k": ["n_cases"], "window_asof": ["at_dist", "n_cases"], **reports.LONG}
 
 
 def _duck(name: str, text: str) -> str:

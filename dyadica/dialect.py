@@ -32,7 +32,7 @@ class Dialect:
     def total(self, low: str, high: str, x: str, value: str) -> str:
         """The sum of value over integers x from low to high."""
         if self.spark:
-            return f"aggregate(transform(sequence(1, CAST({high} AS INT)), {x} -> CAST({value} AS DOUBLE)), 0D, (acc, y) -> acc + y)"
+            return f"aggregate(transform(sequence({low}, CAST({high} AS INT)), {x} -> CAST({value} AS DOUBLE)), 0D, (acc, y) -> acc + y)"
         return f"list_sum(list_transform(range({low}, CAST({high} AS INT) + 1), lambda {x}: CAST({value} AS DOUBLE)))"
 
     def fold(self, n: str, least: int, x: str, value: str) -> str:

@@ -6,10 +6,11 @@ from ..dialect import Dialect
 
 
 def predicted_overlap(d: Dialect, n: str, s: str, b: str, h: str) -> str:
-    """Expected share of n nouns (Zipfian, s tokens, bias b) seen with both determiners; h is the n-th harmonic number. Null where it isn't defined."""
+    """Expected share of n nouns (Zipfian, s tokens, bias b) seen with both determiners; h is the n-th harmonic number. Null where it isn't defined, as where a noun's share isn't above 0 (one token)."""
     p = f"(1 / (r * {h}))"
     term = f"1 - pow({p} * {b} + 1 - {p}, {s}) - pow({p} * (1 - {b}) + 1 - {p}, {s}) + pow(1 - {p}, {s})"
-    return f"CASE WHEN {n} > 0 AND {s} > 0 AND {b} > 0 AND {b} < 1 THEN {d.total('1', n, 'r', term)} / {n} END"
+    last = term.replace("(r *", f"({n} *")  # the rarest noun's share, which is the least
+    return f"CASE WHEN {n} > 0 AND {s} > 1 AND {b} > 0 AND {b} < 1 AND {last} > 0 THEN {d.total('1', n, 'r', term)} / {n} END"
 
 
 def harmonic(d: Dialect, n: str) -> str:
@@ -23,3 +24,11 @@ def p_value(d: Dialect, t: str, df: str) -> str:
     odd, even = d.fold(df, 3, "k", f"1 + acc * {cos2} * (k - 1) / k"), d.fold(df, 2, "k", f"1 + acc * {cos2} * (k - 1) / k")
     return f"""CASE WHEN {t} IS NULL OR {df} < 1 THEN NULL WHEN {df} = 1 THEN 1 - 2 / pi() * {theta} WHEN {df} % 2 = 1
       THEN 1 - 2 / pi() * ({theta} + sin({theta}) * cos({theta}) * ({odd})) ELSE 1 - sin({theta}) * ({even}) END"""
+
+
+def p_value_any(d: Dialect, t: str, df: str, steps: int = 4000) -> str:
+    """Two-sided p of Student's t for any degrees of freedom from 1 on, by the midpoint rule over the angle; as good as 1e-6 below 2 of them, 1e-8 from 3 on."""
+    def area(top: str) -> str:
+        return f"{top} / {steps} * {d.total('1', str(steps), 'i', f'pow(cos({top} * (i - 0.5) / {steps}), {df} - 1)')}"
+
+    return f"CASE WHEN {t} IS NOT NULL AND {df} >= 1 THEN 1 - {area(f'atan(abs({t}) / sqrt({df}))')} / ({area('(pi() / 2)')}) END"

@@ -11,6 +11,12 @@ from ..dialect import Dialect
 ITEM = "left(noun, 1)"
 
 
+def _with_models(d: Dialect) -> dict[str, str]:
+    from . import model_relations
+
+    return model_relations.parts(d)
+
+
 def _sites(d: Dialect, source: str, keys: str) -> str:
     tk = f"(SELECT *, {d.tokens('text')} AS tk, {d.separators('text')} AS sp FROM {source})"
     base = f"(SELECT *, {'size' if d.spark else 'len'}(tk) AS n_tokens FROM {tk} AS a)"
@@ -55,6 +61,7 @@ def parts(d: Dialect, item: str = ITEM, window: int = 3, budget: int = 400) -> d
         "distribution": """SELECT *, (exp(s_a - m) + exp(s_an - m)) / (exp(s_a - m) + exp(s_an - m) + exp(s_the - m)) AS p_a, exp(s_the - m) / (exp(s_a - m) + exp(s_an - m) + exp(s_the - m)) AS p_the
           FROM (SELECT *, greatest(s_a, s_an, s_the) AS m FROM logscores) x""",
         "nouns": "SELECT lang, noun, count(CASE WHEN det = 'a' THEN 1 END) AS a, count(CASE WHEN det = 'the' THEN 1 END) AS the FROM docsites GROUP BY lang, noun",
+        **_with_models(d),
         "counted": "SELECT lang, count(*) AS n, sum(a + the) AS s, sum(greatest(a, the)) / CAST(sum(a + the) AS DOUBLE) AS bias FROM nouns GROUP BY lang",
     }
 
