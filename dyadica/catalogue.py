@@ -52,7 +52,7 @@ def texts(d: Dialect) -> dict[str, str]:
     # Overlap by counts
     q["overlap_counts"] = "SELECT c.lang, c.n AS n_types, c.s AS n_tokens, round(c.bias, 9) AS bias, round(c.s / CAST(c.n AS DOUBLE), 9) AS r, round(e.empirical, 9) AS empirical, round(e.simple, 9) AS simple_expected FROM counted c JOIN (SELECT n.lang, avg(CASE WHEN n.a > 0 AND n.the > 0 THEN 1 ELSE 0 END) AS empirical, avg(1 - pow(k.bias, n.a + n.the) - pow(1 - k.bias, n.a + n.the)) AS simple FROM nouns n JOIN counted k ON n.lang = k.lang GROUP BY n.lang) e ON c.lang = e.lang"
     q["yang_predicted"] = f"SELECT lang, n, s, round({predicted_overlap(d, 'n', 's', 'bias', 'h')}, 9) AS predicted, round({predicted_overlap(d, 'n', 's', '0.82', 'h')}, 9) AS predicted_at_082 FROM (SELECT *, {harmonic(d, 'n')} AS h FROM counted) x"
-    q["zipf_slope"] = "SELECT lang, count(*) AS n, round(regr_slope(ln(f), ln(rk)), 8) AS slope FROM (SELECT lang, CAST(a + the AS DOUBLE) AS f, row_number() OVER (PARTITION BY lang ORDER BY a + the DESC, noun) AS rk FROM nouns) x GROUP BY lang"
+    q["zipf_slope"] = f"SELECT lang, count(*) AS n, round(regr_slope(ln(f), ln(rk)), 8) AS slope FROM ({reports.ranked(d)}) x GROUP BY lang"
     # Sequence
     q["transitions"] = "SELECT dyad, session, line_num, pair_index, speaker, item, noun, det, previous_det, previous_speaker, previous_line, concat(previous_det, '->', det) AS transition FROM transitions"
     q["first_mentions"] = "SELECT session, item, speaker, line_num, pair_index FROM mentions WHERE previous_det IS NULL"
@@ -89,7 +89,7 @@ def texts(d: Dialect) -> dict[str, str]:
     q["distance_percentiles"] = f"SELECT speaker, count(*) AS n, {', '.join(f'round({d.percentile(chr(116)+chr(114)+chr(117)+chr(101)+chr(95)+chr(100)+chr(105)+chr(115)+chr(116), p / 100)}, 9) AS p{p}' for p in (50, 75, 90, 100))} FROM distances GROUP BY speaker"
     q["near_far"] = "SELECT speaker, count(*) AS n, round(avg(CASE WHEN true_dist > 2 THEN 100 ELSE 0 END), 9) AS percent_far, round(avg(CASE WHEN true_dist <= 2 THEN CASE WHEN det <> previous_det THEN 1 ELSE 0 END END), 9) AS tpr_near, round(avg(CASE WHEN true_dist > 2 THEN CASE WHEN det <> previous_det THEN 1 ELSE 0 END END), 9) AS tpr_far FROM distances GROUP BY speaker"
     q["in_window_audit"] = "SELECT in_window, count(*) AS n, round(avg(CASE WHEN det <> previous_det THEN 1 ELSE 0 END), 9) AS tpr FROM (SELECT *, tokens_back + own_tokens <= 400 AS in_window FROM distances) x GROUP BY in_window"
-    q["antecedent_visible"] = "SELECT session, line_num, pair_index, lower(previous_sentence) LIKE concat('%', lower(noun), '%') AS visible FROM transitions"
+    q["antecedent_visible"] = "SELECT session, line_num, pair_index, " + ("rlike(previous_sentence, concat('(?i)\\\\b\\\\Q', noun, '\\\\E\\\\b'))" if d.spark else "regexp_matches(previous_sentence, '(?i)\\b' || noun || '\\b')") + " AS visible FROM transitions"
     # Inference
     q["ttest_1samp"] = _ttest(d, "SELECT speaker, tpr - 0.5 AS x FROM dyads", "speaker")
     q["ttest_paired"] = _ttest(d, "SELECT c.tpr - m.tpr AS x FROM dyads c JOIN dyads m ON c.dyad = m.dyad WHERE c.speaker = 'child' AND m.speaker = 'mother'", "")

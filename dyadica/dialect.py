@@ -8,10 +8,10 @@ class Dialect:
         self.spark = spark
 
     def tokens(self, text: str) -> str:
-        return rf"regexp_extract_all(lower({text}), '\\p{{L}}+', 0)" if self.spark else rf"regexp_extract_all(lower({text}), '\p{{L}}+')"
+        return rf"regexp_extract_all({text}, '\\p{{L}}+', 0)" if self.spark else rf"regexp_extract_all({text}, '\p{{L}}+')"
 
     def separators(self, text: str) -> str:
-        return rf"split(lower({text}), '\\p{{L}}+')" if self.spark else rf"string_split_regex(lower({text}), '\p{{L}}+')"
+        return rf"split({text}, '\\p{{L}}+')" if self.spark else rf"string_split_regex({text}, '\p{{L}}+')"
 
     def at(self, array: str, i: str) -> str:
         """The i-th element, from 1; null outside."""

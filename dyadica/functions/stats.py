@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def t_p_value(t: float, df: float) -> float:
@@ -31,6 +32,6 @@ def t_p_value(t: float, df: float) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def welch_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) or pd.isna(n) else t_p_value(x, n) for x, n in zip(t, df, strict=True)], dtype="float64")

@@ -18,11 +18,24 @@ def _with_models(d: Dialect) -> dict[str, str]:
 
 
 def _sites(d: Dialect, source: str, keys: str) -> str:
+    """Determiners followed by another word, with offsets in the text as it is written. Spark walks each text once and explodes nothing but sites."""
+    if d.spark:
+        # Places are gathered as text: appending to a list would copy its members each time.
+        step = """(acc, i) -> named_struct('at', acc.at + length(z.sp[i - 1]) + length(z.tk[i - 1]), 'found', CASE WHEN lower(z.tk[i - 1]) IN ('a', 'an', 'the') AND lower(z.tk[i]) NOT IN ('a', 'an', 'the')
+          THEN concat(acc.found, ';', CAST(i AS STRING), ':', CAST(acc.at + length(z.sp[i - 1]) AS STRING)) ELSE acc.found END)"""
+        places = f"split(substr(aggregate(sequence(1, size(z.tk) - 1), named_struct('at', 0, 'found', ''), {step}, acc -> acc.found), 2), ';')"
+        at = "CAST(substring_index(e, ':', 1) AS INT)"
+        walk = f"transform(filter({places}, e -> e <> ''), e -> named_struct('i', {at}, 'start', CAST(substring_index(e, ':', -1) AS INT), 'form', lower(z.tk[{at} - 1]), 'noun', lower(z.tk[{at}])))"
+        # z binds the words, which would else be cut anew at each step.
+        once = f"get(transform(array(named_struct('tk', {d.tokens('text')}, 'sp', {d.separators('text')})), z -> CASE WHEN size(z.tk) > 1 THEN {walk} END), 0)"
+        each = f"(SELECT {keys}, text, {once} AS found FROM {source}) AS b LATERAL VIEW explode(found) s AS site"
+        return f"""SELECT {keys}, text AS sentence, site.i AS pair_index, site.form AS form, CASE WHEN site.form = 'the' THEN 'the' ELSE 'a' END AS det, site.noun AS noun,
+          site.start AS det_char_start, site.start + length(site.form) AS det_char_end FROM {each}"""
     tk = f"(SELECT *, {d.tokens('text')} AS tk, {d.separators('text')} AS sp FROM {source})"
-    base = f"(SELECT *, {'size' if d.spark else 'len'}(tk) AS n_tokens FROM {tk} AS a)"
+    base = f"(SELECT *, len(tk) AS n_tokens FROM {tk} AS a)"
     each = d.each("i", "1", "n_tokens - 1", f"{base} AS b")
     start = f"{d.chars(d.first('tk', 'i - 1'))} + {d.chars(d.first('sp', 'i'))}"
-    det, noun = d.at("tk", "i"), d.at("tk", "i + 1")
+    det, noun = f"lower({d.at('tk', 'i')})", f"lower({d.at('tk', 'i + 1')})"
     return f"""SELECT {keys}, text AS sentence, CAST(i AS INT) AS pair_index, {det} AS form, CASE WHEN {det} = 'the' THEN 'the' ELSE 'a' END AS det, {noun} AS noun,
       CAST({start} AS INT) AS det_char_start, CAST({start} + length({det}) AS INT) AS det_char_end
       FROM {each} WHERE {det} IN ('a', 'an', 'the') AND {noun} NOT IN ('a', 'an', 'the')"""

@@ -8,17 +8,28 @@ from pyspark.sql import SparkSession
 
 from .. import catalogue
 
-STEPS = ("sites", "transitions", "analytical_overlap", "analytical_tpr", "tpr_by_k", "joint_table")
+STEPS = ("sites", "transitions", "model_predictions", "model_overlap", "model_tpr", "tpr_by_k", "model_four_tests", "corrected_in_window", "joint_results", "full_results_table")
 
 
-def run(spark: SparkSession, sf_dir: str, out: str, only: Iterable[str] | None = None, force: bool = False) -> list[str]:
-    """Write the named steps' results to out; steps whose result is there are left unless force. Stops at the first failure."""
+def chosen(first: str | None = None, last: str | None = None, only: Iterable[str] | None = None) -> list[str]:
+    """The steps to run, in order: all, those from `first` to `last`, or `only` some."""
+    names = [*STEPS]
+    for name in (first, last, *(only or ())):
+        if name is not None and name not in names:
+            raise ValueError(f"no step {name}")
+    if only is not None:
+        return [n for n in names if n in set(only)]
+    return names[names.index(first) if first else 0 : names.index(last) + 1 if last else None]
+
+
+def run(spark: SparkSession, sf_dir: str, out: str, only: Iterable[str] | None = None, force: bool = False, *, first: str | None = None, last: str | None = None, form: str = "parquet") -> list[str]:
+    """Write the chosen steps' results to out, as Parquet or CSV; steps whose result is there are left unless force. Stops at the first failure."""
     done = []
-    for name in only or STEPS:
+    for name in chosen(first, last, only):
         path = f"{out.rstrip('/')}/{name}"
         jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not force and jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath):
             continue
-        catalogue.QUERIES[name](spark, sf_dir).write.mode("overwrite").parquet(path)
+        catalogue.QUERIES[name](spark, sf_dir).write.mode("overwrite").option("header", True).format(form).save(path)
         done.append(name)
     return done

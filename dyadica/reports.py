@@ -43,7 +43,7 @@ def texts(d: Dialect) -> dict[str, str]:
     q["overlap_all_stats"] = f"""SELECT c.lang, c.n, c.s, {r9('c.bias', 'bias')}, {r9('c.s / CAST(c.n AS DOUBLE)', 'r')}, {r9('e.empirical', 'empirical')}, {r9('e.simple', 'simple')}, {r9('z.slope', 'slope', 7)},
       round({predicted_overlap(d, 'c.n', 'c.s', 'c.bias', 'c.h')}, 9) AS predicted, round({predicted_overlap(d, 'c.n', 'c.s', '0.82', 'c.h')}, 9) AS predicted_at_082
       FROM (SELECT *, {harmonic(d, 'n')} AS h FROM counted) c JOIN (SELECT n.lang, avg(CASE WHEN n.a > 0 AND n.the > 0 THEN 1 ELSE 0 END) AS empirical, avg(1 - pow(k.bias, n.a + n.the) - pow(1 - k.bias, n.a + n.the)) AS simple FROM nouns n JOIN counted k ON n.lang = k.lang GROUP BY n.lang) e ON c.lang = e.lang
-      JOIN (SELECT lang, regr_slope(ln(f), ln(rk)) AS slope FROM (SELECT g.lang, g.f, g.before + i.i AS rk FROM (SELECT lang, f, m, sum(m) OVER (PARTITION BY lang ORDER BY f DESC) - m AS before FROM (SELECT lang, CAST(a + the AS DOUBLE) AS f, count(*) AS m FROM nouns GROUP BY lang, a + the) h) g, {_ranks(d)}) y GROUP BY lang) z ON z.lang = c.lang"""
+      JOIN (SELECT lang, regr_slope(ln(f), ln(rk)) AS slope FROM ({ranked(d)}) y GROUP BY lang) z ON z.lang = c.lang"""
 
     # Significance
     differ = f"SELECT model_name, model_type, speaker, empirical - predicted AS x, empirical, predicted, bias, accuracy, dyad FROM ({overlap}) x"
@@ -162,9 +162,11 @@ def _window(name: str, kind: str) -> str:
     return f"CASE WHEN {kind} = 'ar' OR contains(lower({name}), 'gpt') OR contains(lower({name}), 'llama') OR contains(lower({name}), 'causal') OR contains(lower({name}), 'opt') THEN 1024 ELSE 512 END"
 
 
-def _ranks(d: Dialect) -> str:
-    """i from 1 to m, beside each row of g: ranks come from a histogram of frequencies, so no window sees every noun."""
-    return "LATERAL (SELECT explode(sequence(1, CAST(g.m AS INT))) AS i) i" if d.spark else "LATERAL (SELECT unnest(range(1, CAST(g.m AS INT) + 1)) AS i) i"
+def ranked(d: Dialect) -> str:
+    """lang, frequency and rank of every noun. Ranks come from a histogram of frequencies, so no window sees every noun."""
+    counts = "SELECT lang, f, m, sum(m) OVER (PARTITION BY lang ORDER BY f DESC) - m AS before FROM (SELECT lang, CAST(a + the AS DOUBLE) AS f, count(*) AS m FROM nouns GROUP BY lang, a + the) h"
+    each = "LATERAL (SELECT explode(sequence(1, CAST(g.m AS INT))) AS i) i" if d.spark else "LATERAL (SELECT unnest(range(1, CAST(g.m AS INT) + 1)) AS i) i"
+    return f"SELECT g.lang, g.f, CAST(g.before + i.i AS DOUBLE) AS rk FROM ({counts}) g, {each}"
 
 
 #: Whole-number columns whose types differ between the engines.
