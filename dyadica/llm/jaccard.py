@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from .common import WORD, batches_of, drop_written, join_common, lower_ascii, mix, table, words, written
 from .url_filter import _bits, _set, bloom
 
-PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, TOKEN_BYTES, STAR_ROUNDS, THINNED, PRUNINGS, FEW, BLOCK = 80, 5, 8, 0.15, 6_000_000, 6, 8, 0.7, 4, 32, 256
+PERCENT, SHINGLE, HOT, SLACK, BUCKET_TOKENS, TOKEN_BYTES, STAR_ROUNDS, THINNED, PRUNINGS, FEW, BLOCK, LOCAL_EDGES = 80, 5, 8, 0.15, 6_000_000, 6, 8, 0.7, 4, 32, 256, 500_000
 HEAD = np.dtype([("cls", "<i8"), ("size", "<u4"), ("own", "<i4"), ("below", "<i4"), ("keys", "<u4")])
 
 
@@ -233,24 +233,46 @@ def _meet(percent: int, hot: int):
     return meet
 
 
-def components(edges: DataFrame) -> DataFrame | None:
-    """(cls, root) of every end of edges (a, b). Each round every node goes to the neighbour of least random rank, or stays; edges within a node vanish, so some log n rounds suffice."""
+def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(root, to) of every end of the edges that one task holds: to is the same throughout a component."""
+    held = [batch.to_numpy() for batch in batches]
+    ends = np.concatenate(held) if held else np.empty((0, 2), dtype=np.int64)
+    node, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    to = np.arange(len(node))
+    while (to[a] != to[b]).any():
+        x, y = to[a], to[b]
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (to != to[to]).any():
+            to = to[to]
+    yield pd.DataFrame({"root": node, "to": node[to]})
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame | None:
+    """(cls, root) of every end of edges (a, b). Each round every node goes to the neighbour of least random rank, or stays; edges within a node vanish, so some log n rounds suffice.
+
+    The last `local` edges, 16 bytes each, are finished by one task instead of further rounds, which would shuffle next to nothing.
+    """
     edges, labels, turn = written(edges.select("a", "b").where("a <> b").distinct(), "edges"), None, 0
-    while not edges.isEmpty():
+    while left := edges.count():
         turn += 1
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), c.alias("node"))
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low")).select("a", F.when(F.col("low") < rank(F.col("a")), F.col("low.node")).otherwise(F.col("a")).alias("to"))
-        low = written(low, "low")
-        moved = edges.join(low.withColumnRenamed("to", "x"), "a").join(low.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        step = low.select(F.col("a").alias("root"), "to")
         before, old = labels, edges
+        if left <= local:
+            step, edges = written(edges.coalesce(1).mapInPandas(_finished, "root long, to long"), "low"), None
+        else:
+            rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), c.alias("node"))
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low")).select(F.col("a").alias("root"), F.when(F.col("low") < rank(F.col("a")), F.col("low.node")).otherwise(F.col("a")).alias("to"))
+            step = written(low, "low")
+            moved = edges.join(step.select(F.col("root").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("root").alias("b"), F.col("to").alias("y")), "b")
+            edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
         if labels is None:
-            labels = low.select(F.col("a").alias("cls"), F.col("to").alias("root"))
+            labels = step.select(F.col("root").alias("cls"), F.col("to").alias("root"))
         else:
             labels = written(labels.join(step, "root", "left").select("cls", F.coalesce("to", "root").alias("root")), "labels")
-        edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
         drop_written(old, *([] if before is None or turn <= 2 else [before]))
+        if edges is None:
+            break
     return labels
 
 

@@ -550,3 +550,30 @@ def test_neighbours_beyond_the_pool(spark):
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0]), (4, [2.0])], "vec_id long, embedding array<double>")
     mixed = neighbours.nearest(odd, odd.selectExpr("vec_id AS query_id")).collect()
     assert {(r.query_id, r.vec_id) for r in mixed} == {(1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("local", [0, 40, 500_000])
+def test_components(spark, local):
+    """Paths, stars, circles, repeated and own edges, finished by rounds of joins, by both, and by one task."""
+    big, rnd = 2**53, random.Random(5)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)] + [(big + 1, big + 3), (big + 1, big + 3), (-5, -5), (-7, -6)]
+    pairs += [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(70)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want, seen = set(), set()
+    for start in near:
+        if start not in seen:
+            group, todo = {start}, [start]
+            while todo:
+                todo += (new := near[todo.pop()] - group)
+                group |= new
+            seen |= group
+            want.add(frozenset(group))
+    got = {}
+    for r in jaccard.components(spark.createDataFrame(pairs, "a long, b long"), local).collect():
+        got.setdefault(r.root, []).append(r.cls)
+    assert sum(map(len, got.values())) == len(near) and set(map(frozenset, got.values())) == want
+    assert jaccard.components(spark.createDataFrame([(4, 4)], "a long, b long"), local) is None
