@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where there is any."""
 
-from . import bpe, chat, jaccard, neighbours, packing, quality, sharding, toxicity, url_filter, warc
+from . import bpe, chat, fim, jaccard, neighbours, packing, quality, sharding, toxicity, url_filter, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_jaccard": jaccard.query,
     "op10_neighbours": neighbours.query,
+    "op11_fim": fim.query,
     "pipeline": _pipeline,
 }
-SQL = {"op1_url_filter": url_filter.SQL, "op3_sharding": sharding.SQL, "op6_chat_format": chat.SQL, "op8_warc": warc.SQL}
+SQL = {"op1_url_filter": url_filter.SQL, "op3_sharding": sharding.SQL, "op6_chat_format": chat.SQL, "op8_warc": warc.SQL, "op11_fim": fim.SQL}
