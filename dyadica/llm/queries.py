@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where there is any."""
 
-from . import bpe, chat, fim, hmm, jaccard, neighbours, packing, quality, sharding, toxicity, url_filter, warc
+from . import bpe, chat, fim, hmm, jaccard, neighbours, packing, quality, sharding, toxicity, trie, url_filter, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_neighbours": neighbours.query,
     "op11_fim": fim.query,
     "op12_hmm": hmm.query,
+    "op13_prefix_trie": trie.query,
     "pipeline": _pipeline,
 }
-SQL = {"op1_url_filter": url_filter.SQL, "op3_sharding": sharding.SQL, "op6_chat_format": chat.SQL, "op8_warc": warc.SQL, "op11_fim": fim.SQL}
+SQL = {"op1_url_filter": url_filter.SQL, "op3_sharding": sharding.SQL, "op6_chat_format": chat.SQL, "op8_warc": warc.SQL, "op11_fim": fim.SQL, "op13_prefix_trie": trie.SQL}
