@@ -45,3 +45,8 @@ def union_all(*frames: DataFrame) -> DataFrame:
     for df in rest:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def guarded(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """df; whatever reads it fails with message if condition isn't true of every row. Filters, so the check can't be pruned away."""
+    return df.where(F.assert_true(condition, message).isNull())

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import catalogue
+from ..functions.frames import guarded
+from .store import Store, hadoop_path, signature
 
-STEPS = ("sites", "transitions", "model_predictions", "model_overlap", "model_tpr", "tpr_by_k", "model_four_tests", "corrected_in_window", "joint_results", "full_results_table")
+STEPS = ("sites", "input_audit", "transitions", "model_predictions", "model_overlap", "model_tpr", "tpr_by_k", "model_four_tests", "corrected_in_window", "joint_results", "full_results_table")
 
 
 def chosen(first: str | None = None, last: str | None = None, only: Iterable[str] | None = None) -> list[str]:
@@ -22,14 +27,32 @@ def chosen(first: str | None = None, last: str | None = None, only: Iterable[str
     return names[names.index(first) if first else 0 : names.index(last) + 1 if last else None]
 
 
+#: Relations that steps share: whichever of them a step reads, it reads from the store.
+SHARED = ("lines", "sites", "distances", "formcounts", "predictions")
+
+def guards() -> dict[str, tuple[Column, str]]:
+    """By step: what must hold of each row of its result, and what the failure says otherwise; nothing runs after a step that fails."""
+    return {"input_audit": (F.coalesce("sound", F.lit(True)), "an antecedent inside the window isn't in its context")}
+
+
 def run(spark: SparkSession, sf_dir: str, out: str, only: Iterable[str] | None = None, force: bool = False, *, first: str | None = None, last: str | None = None, form: str = "parquet") -> list[str]:
-    """Write the chosen steps' results to out, as Parquet or CSV; steps whose result is there are left unless force. Stops at the first failure."""
-    done = []
+    """Write the chosen steps' results to out, as Parquet or CSV; the names of the steps that ran. Stops at the first failure.
+
+    Steps that were done for the same rules, input files and form are left unless force. Lines, sites, distances and predictions are found once for all steps and later runs, in `_relations` below out.
+    """
+    root = out.rstrip("/")
+    store, done = Store(spark, f"{root}/_relations"), []
+    of_input = signature(spark, *[f"{sf_dir}/{t}.parquet" for t in catalogue.TABLES])
     for name in chosen(first, last, only):
-        path = f"{out.rstrip('/')}/{name}"
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not force and jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath):
+        path = f"{root}/{name}"
+        key = hashlib.sha256(f"{catalogue.spark_text(name)}{of_input}{form}".encode()).hexdigest()[:24]
+        marker, system = hadoop_path(spark, f"{root}/_done/{name}-{key}")
+        if not force and system.exists(marker) and system.exists(hadoop_path(spark, f"{path}/_SUCCESS")[0]):
             continue
-        catalogue.QUERIES[name](spark, sf_dir).write.mode("overwrite").option("header", True).format(form).save(path)
+        rows: DataFrame = catalogue.QUERIES[name](spark, sf_dir, store, SHARED)
+        if name in guards():
+            rows = guarded(rows, *guards()[name])
+        rows.write.mode("overwrite").option("header", True).format(form).save(path)
+        system.mkdirs(marker)
         done.append(name)
     return done

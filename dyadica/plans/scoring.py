@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -89,6 +89,32 @@ def score(prompts: DataFrame, config: dict, candidates: dict[str, list[str]] = D
     return prompts.withColumn("probs", distribution(scores(F.col(prompt)), candidates))
 
 
+def score_each(prompts: DataFrame, configs: dict[int, dict], key: Sequence[str], candidates: dict[str, list[str]] = DETERMINERS) -> DataFrame:
+    """prompts (`work`, `prompt`, ...) with `probs`, as `score` makes them, by the model that `work` names in configs.
+
+    Rows are dealt out by range of work and key, so that a task has few models, one after another, and a model's rows go to as many
+    tasks as they need; a task's state changes when the model does. Models with the same configuration share a state.
+    """
+    loaders = {i: scorer_of(c["type"]) for i, c in configs.items()}
+    forms = forms_of(candidates)
+    shape = prompts.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = own = None
+        for rows in batches:
+            found = []
+            for work, prompt in zip(rows["work"], rows["prompt"], strict=True):
+                load, scorer = loaders[work]
+                if own != configs[work]:
+                    state, own = load(configs[work]), configs[work]
+                found.append({k: float(v) for k, v in scorer(state, prompt, forms).items() if math.isfinite(v)} if prompt is not None else {})
+            yield rows.assign(scores=found)
+
+    ranged = prompts.repartitionByRange("work", *key).sortWithinPartitions("work")
+    scored = ranged.mapInPandas(run, shape + ",scores:map<string,double>")
+    return scored.withColumn("probs", distribution(F.col("scores"), candidates)).drop("scores")
+
+
 def with_determiners(scored: DataFrame, *key: str, seed: int = 0) -> DataFrame:
     """Both readouts of the determiner's distribution."""
     p = F.col("probs")

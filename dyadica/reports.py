@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .dialect import Dialect
 from .functions import labels as L
-from .functions.formulas import harmonic, p_value, p_value_any, predicted_overlap
+from .functions.formulas import p_value, p_value_any, with_predicted
+from .operators.model_relations import ROOMS
+from .operators.relations import as_of, budgeted, rendered
 
 KEYS = "model_name, model_type, dyad, speaker"
-GRID = (1, 3, 5, 10, 20, 50, 100, 1_000_000_000)
+#: Whom models are compared with, pooled and by dyad, where they aren't paired with children or mothers.
+REFERENCE = "other_adult"
 #: Tokens per type and observed overlap of the twelve children and their mothers, as published.
 YANG_VALIAN = {
     "child": ((4.06, 5.22, 4.36, 11.60, 3.09, 3.01, 3.51, 5.78, 4.78, 3.30, 4.13, 6.81), (0.33, 0.32, 0.33, 0.46, 0.22, 0.21, 0.24, 0.33, 0.29, 0.26, 0.26, 0.37)),
@@ -33,16 +36,16 @@ def tested(d: Dialect, source: str, keys: str, name: str = "x") -> str:
 
 def texts(d: Dialect) -> dict[str, str]:
     q: dict[str, str] = {}
-    overlap = f"SELECT *, {predicted_overlap(d, 'n', 's', 'bias', 'h')} AS predicted FROM (SELECT *, {harmonic(d, 'n')} AS h FROM model_bias) x0"
+    overlap = "SELECT * FROM model_overlaps"
 
     # Overlap and switch rates for each model, type, dyad and speaker
     q["model_predictions"] = f"SELECT model_name, model_type, session, line_num, pair_index, {r9('p_a', 'p_a')}, {r9('p_the', 'p_the')}, argmax, sampled FROM predictions"
     q["model_overlap"] = f"SELECT {KEYS}, n, s, {r9('bias', 'emp_bias')}, {r9('empirical', 'empirical')}, {r9('predicted', 'naive_predicted')}, {r9('accuracy', 'accuracy')} FROM ({overlap}) x"
     q["model_tpr"] = f"SELECT {KEYS}, {r9('tpr_overall', 'tpr_overall')}, {r9('tpr_the', 'tpr_the')}, {r9('tpr_a', 'tpr_a')}, n_total, n_previous_a, n_previous_the FROM model_dyads"
     q["overlap_long"] = f"SELECT model_name || '|' || model_type AS model_key, dyad, speaker, kind, {r9('value', 'value')} FROM (SELECT *, 'empirical' AS kind, empirical AS value FROM ({overlap}) a UNION ALL SELECT *, 'predicted' AS kind, predicted AS value FROM ({overlap}) b) x WHERE empirical IS NOT NULL"
-    q["overlap_all_stats"] = f"""SELECT c.lang, c.n, c.s, {r9('c.bias', 'bias')}, {r9('c.s / CAST(c.n AS DOUBLE)', 'r')}, {r9('e.empirical', 'empirical')}, {r9('e.simple', 'simple')}, {r9('z.slope', 'slope', 7)},
-      round({predicted_overlap(d, 'c.n', 'c.s', 'c.bias', 'c.h')}, 9) AS predicted, round({predicted_overlap(d, 'c.n', 'c.s', '0.82', 'c.h')}, 9) AS predicted_at_082
-      FROM (SELECT *, {harmonic(d, 'n')} AS h FROM counted) c JOIN (SELECT n.lang, avg(CASE WHEN n.a > 0 AND n.the > 0 THEN 1 ELSE 0 END) AS empirical, avg(1 - pow(k.bias, n.a + n.the) - pow(1 - k.bias, n.a + n.the)) AS simple FROM nouns n JOIN counted k ON n.lang = k.lang GROUP BY n.lang) e ON c.lang = e.lang
+    zipfian = with_predicted(d, "SELECT * FROM counted", ("lang", "n", "s", "bias"), {"predicted": "bias", "predicted_at_082": "0.82"})
+    q["overlap_all_stats"] = f"""SELECT c.lang, c.n, c.s, {r9('c.bias', 'bias')}, {r9('c.s / CAST(c.n AS DOUBLE)', 'r')}, {r9('e.empirical', 'empirical')}, {r9('e.simple', 'simple')}, {r9('z.slope', 'slope', 7)}, {r9('c.predicted', 'predicted')}, {r9('c.predicted_at_082', 'predicted_at_082')}
+      FROM ({zipfian}) c JOIN (SELECT n.lang, avg(CASE WHEN n.a > 0 AND n.the > 0 THEN 1 ELSE 0 END) AS empirical, avg(1 - pow(k.bias, n.a + n.the) - pow(1 - k.bias, n.a + n.the)) AS simple FROM nouns n JOIN counted k ON n.lang = k.lang GROUP BY n.lang) e ON c.lang = e.lang
       JOIN (SELECT lang, regr_slope(ln(f), ln(rk)) AS slope FROM ({ranked(d)}) y GROUP BY lang) z ON z.lang = c.lang"""
 
     # Significance
@@ -51,7 +54,7 @@ def texts(d: Dialect) -> dict[str, str]:
     q["overlap_significance"] = f"SELECT model_name, model_type, speaker, n, {r9('mean_empirical', 'empirical')}, {r9('mean_predicted', 'predicted')}, {r9('t', 't', 6)}, {r9('p', 'p', 7)}, {L.stars('p')} AS stars, {L.mark('p')} AS passes FROM ({sig}) x"
     q["overlap_summary"] = f"SELECT model_name, model_type, speaker, {r9('mean_empirical', 'mean_empirical')}, {r9('sd_empirical', 'sd_empirical')}, {r9('mean_bias', 'mean_bias')}, {r9('p', 'p', 7)} FROM ({sig}) x"
     q["accuracy_summary"] = f"SELECT model_name, speaker, count(*) AS n_dyads, {r9('avg(accuracy)', 'accuracy')} FROM model_bias GROUP BY model_name, speaker"
-    adults = "(SELECT count(*) AS n, avg(tpr) AS mean, var_samp(tpr) AS v, sum(n_switch) / sum(n_total) AS pooled FROM dyads WHERE speaker = 'mother')"
+    adults = f"(SELECT count(*) AS n, avg(tpr) AS mean, var_samp(tpr) AS v, sum(n_switch) / sum(n_total) AS pooled FROM dyads WHERE speaker = '{REFERENCE}')"
     child = "SELECT model_name, model_type, count(tpr_overall) AS n, avg(tpr_overall) AS mean, stddev_samp(tpr_overall) AS sd FROM model_dyads WHERE speaker = 'child' GROUP BY model_name, model_type"
     one = f"SELECT c.*, a.pooled, a.mean AS adult_mean, {t_of('(c.mean - a.pooled)', 'c.sd', 'c.n')} AS t1, (c.mean - a.mean) / nullif(sqrt(c.sd * c.sd / c.n + a.v / a.n), 0) AS tw, pow(c.sd * c.sd / c.n + a.v / a.n, 2) / nullif(pow(c.sd * c.sd / c.n, 2) / nullif(c.n - 1, 0) + pow(a.v / a.n, 2) / nullif(a.n - 1, 0), 0) AS dfw FROM ({child}) c CROSS JOIN {adults} a WHERE c.n > 1"
     pair = lambda who: tested(d, f"SELECT m.model_name, m.model_type, m.tpr_overall - h.tpr AS x FROM model_dyads m JOIN dyads h ON h.dyad = m.dyad WHERE m.speaker = 'child' AND h.speaker = '{who}'", "model_name, model_type")
@@ -63,47 +66,55 @@ def texts(d: Dialect) -> dict[str, str]:
     every, within = tested(d, f"SELECT model_name, model_type, mt - ht AS x FROM ({means}) m0", "model_name, model_type"), tested(d, f"SELECT model_name, model_type, mw - hw AS x FROM ({means}) m1", "model_name, model_type")
     fixed = f"SELECT g.*, a.p AS all_p, w.p AS win_p, w.n AS win_n FROM (SELECT model_name, model_type, avg(mt) AS all_model, avg(ht) AS all_human, avg(mw) AS win_model, avg(hw) AS win_human, stddev_samp(mw) AS win_sd, CAST(sum(k) AS BIGINT) AS n_window FROM ({means}) m2 GROUP BY model_name, model_type) g JOIN ({every}) a ON a.model_name = g.model_name AND a.model_type = g.model_type JOIN ({within}) w ON w.model_name = g.model_name AND w.model_type = g.model_type"
     q["corrected_in_window"] = f"SELECT model_name, model_type, {r9('all_model', 'all_model')}, {r9('all_human', 'all_human')}, {r9('all_p', 'all_p', 7)}, coalesce(all_p > 0.05, false) AS all_pass, {r9('CASE WHEN win_n > 1 THEN win_model END', 'win_model')}, {r9('CASE WHEN win_n > 1 THEN win_human END', 'win_human')}, {r9('win_p', 'win_p', 7)}, coalesce(win_p > 0.05, false) AS win_pass, n_window FROM ({fixed}) x"
-    ks = f"(SELECT k_max FROM (VALUES {', '.join(f'({k})' for k in GRID)}) AS v(k_max)) g"
     hist = "(SELECT dyad, speaker, true_dist AS dist, count(*) AS n, count(CASE WHEN det <> previous_det THEN 1 END) AS sw FROM distances GROUP BY dyad, speaker, true_dist) h"
-    per_k = f"SELECT g.k_max, h.dyad, h.speaker, sum(h.n) AS n, sum(h.sw) AS sw, sum(h.sw) / CAST(sum(h.n) AS DOUBLE) AS rate FROM {ks} JOIN {hist} ON h.dist <= g.k_max GROUP BY g.k_max, h.dyad, h.speaker"
-    pooled = f"SELECT k_max, sum(sw) / CAST(sum(n) AS DOUBLE) AS pooled, sum(n) AS n FROM ({per_k}) pk0 WHERE speaker = 'other_adult' GROUP BY k_max"
-    against = tested(d, f"SELECT k.k_max, k.speaker, k.rate - r.pooled AS x FROM ({per_k}) k LEFT JOIN ({pooled}) r ON r.k_max = k.k_max WHERE k.speaker <> 'other_adult'", "k_max, speaker")
+    running = f"SELECT dyad, speaker, dist, sum(n) OVER w AS n, sum(sw) OVER w AS sw FROM {hist} WINDOW w AS (PARTITION BY dyad, speaker ORDER BY dist)"
+    of_dyads = as_of("dyad, speaker", running, ("n", "sw"), "SELECT k_max FROM grid") if d.spark else f"SELECT g.k_max, h.dyad, h.speaker, sum(h.n) AS n, sum(h.sw) AS sw FROM grid g JOIN {hist} ON h.dist <= g.k_max GROUP BY g.k_max, h.dyad, h.speaker"
+    per_k = f"SELECT k_max, dyad, speaker, n, sw, sw / CAST(n AS DOUBLE) AS rate FROM ({of_dyads}) pk"
+    pooled = f"SELECT k_max, sum(sw) / CAST(sum(n) AS DOUBLE) AS pooled, sum(n) AS n FROM ({per_k}) pk0 WHERE speaker = '{REFERENCE}' GROUP BY k_max"
+    against = tested(d, f"SELECT k.k_max, k.speaker, k.rate - r.pooled AS x FROM ({per_k}) k LEFT JOIN ({pooled}) r ON r.k_max = k.k_max WHERE k.speaker <> '{REFERENCE}'", "k_max, speaker")
     both = tested(d, f"SELECT a.k_max, a.rate - b.rate AS x FROM ({per_k}) a JOIN ({per_k}) b ON a.k_max = b.k_max AND a.dyad = b.dyad WHERE a.speaker = 'child' AND b.speaker = 'mother'", "k_max")
-    sums = f"SELECT k_max, speaker, avg(rate) AS tpr, CAST(sum(n) AS BIGINT) AS n_cases FROM ({per_k}) pk1 WHERE speaker <> 'other_adult' GROUP BY k_max, speaker"
+    sums = f"SELECT k_max, speaker, avg(rate) AS tpr, CAST(sum(n) AS BIGINT) AS n_cases FROM ({per_k}) pk1 WHERE speaker <> '{REFERENCE}' GROUP BY k_max, speaker"
     q["tests_by_k"] = f"SELECT s.k_max, s.speaker, {r9('s.tpr', 'tpr')}, s.n_cases, {r9('a.t', 't', 6)}, {r9('a.p', 'p', 7)}, {r9('b.t', 'pair_t', 6)}, {r9('b.p', 'pair_p', 7)}, {r9('r.pooled', 'adult_pooled')}, CAST(coalesce(r.n, 0) AS BIGINT) AS adult_n FROM ({sums}) s JOIN ({against}) a ON a.k_max = s.k_max AND a.speaker = s.speaker LEFT JOIN ({both}) b ON b.k_max = s.k_max LEFT JOIN ({pooled}) r ON r.k_max = s.k_max"
-    human = f"SELECT dyad, speaker, n, s, bias, empirical, {predicted_overlap(d, 'n', 's', 'bias', 'h')} AS predicted FROM (SELECT *, {harmonic(d, 'n')} AS h FROM (SELECT dyad, speaker, count(*) AS n, CAST(sum(a + t) AS BIGINT) AS s, sum(greatest(a, t)) / CAST(sum(a + t) AS DOUBLE) AS bias, avg(CASE WHEN a > 0 AND t > 0 THEN 1e0 ELSE 0e0 END) AS empirical FROM (SELECT dyad, speaker, noun, count(CASE WHEN det = 'a' THEN 1 END) AS a, count(CASE WHEN det = 'the' THEN 1 END) AS t FROM sites WHERE speaker IN ('child', 'mother') GROUP BY dyad, speaker, noun) n0 GROUP BY dyad, speaker) n1) n2"
+    human = "SELECT * FROM humans"
     q["human_overlap"] = f"SELECT dyad, speaker, n, s, {r9('bias', 'emp_bias')}, {r9('s / CAST(n AS DOUBLE)', 'r')}, {r9('empirical', 'empirical')}, {r9('predicted', 'naive_zipf_predicted')} FROM ({human}) x"
     q["human_overlap_stats"] = f"SELECT t.speaker, t.n, {r9('m.e', 'mean_empirical')}, {r9('m.sd', 'sd_empirical')}, {r9('m.b', 'mean_bias')}, {r9('t.t', 't', 6)}, {r9('t.p', 'p', 7)} FROM ({tested(d, f'SELECT speaker, empirical - predicted AS x FROM ({human}) h0', 'speaker')}) t JOIN (SELECT speaker, avg(empirical) AS e, stddev_samp(empirical) AS sd, avg(bias) AS b FROM ({human}) h1 GROUP BY speaker) m ON m.speaker = t.speaker"
     wide = f"(SELECT dyad, max(CASE WHEN speaker = 'child' THEN bias END) AS cb, max(CASE WHEN speaker = 'mother' THEN bias END) AS mb, max(CASE WHEN speaker = 'child' THEN empirical END) AS ce, max(CASE WHEN speaker = 'mother' THEN empirical END) AS me FROM ({human}) h2 GROUP BY dyad) w"
     four_bias = [("child bias, 0.82", "cb - 0.82"), ("mother bias, 0.82", "mb - 0.82"), ("child bias, mother bias", "cb - mb"), ("child overlap, mother overlap", "ce - me")]
     q["bias_tests"] = "SELECT test, n, " + f"{r9('mean', 'difference')}, {r9('t', 't', 6)}, {r9('p', 'p', 7)} FROM (" + tested(d, " UNION ALL ".join(f"SELECT '{name}' AS test, {x} AS x FROM {wide}" for name, x in four_bias), "test") + ") x"
     rows = ", ".join(f"('{who}', CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for who, (xs, ys) in YANG_VALIAN.items() for x, y in zip(xs, ys, strict=True))
-    q["literature_pearson"] = f"SELECT speaker, n, {r9('r', 'r')}, round({p_value(d, '(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')}, 8) AS p FROM (SELECT speaker, count(*) AS n, corr(x, y) AS r FROM (VALUES {rows}) AS v(speaker, x, y) GROUP BY speaker) c"
+    points = f"SELECT speaker, 'published' AS source, x, y FROM (VALUES {rows}) AS v(speaker, x, y) UNION ALL SELECT speaker, 'corpus' AS source, s / CAST(n AS DOUBLE) AS x, empirical AS y FROM humans"
+    q["literature_pearson"] = f"SELECT speaker, source, n, {r9('r', 'r')}, round({p_value(d, '(r * sqrt((n - 2) / nullif(1 - r * r, 0)))', '(n - 2)')}, 8) AS p FROM (SELECT speaker, source, count(*) AS n, corr(x, y) AS r FROM ({points}) p0 GROUP BY speaker, source) c"
 
     # Curves and references by window
     curve = "SELECT model_name, model_type, dyad, true_dist AS dist, count(*) AS n, sum(contrib) AS c, max(window_lines) AS w FROM cases WHERE speaker = 'child' GROUP BY model_name, model_type, dyad, true_dist"
-    q["model_curve"] = f"SELECT x.k_max, x.model_name, x.model_type, CASE WHEN x.k_max <= x.w THEN round(avg(x.c / x.n), 9) END AS tpr FROM (SELECT g.k_max, u.model_name, u.model_type, u.dyad, u.w, sum(u.n) AS n, sum(u.c) AS c FROM {ks} JOIN ({curve}) u ON u.dist <= g.k_max GROUP BY g.k_max, u.model_name, u.model_type, u.dyad, u.w) x GROUP BY x.k_max, x.model_name, x.model_type, x.w"
+    summed = f"SELECT model_name, model_type, dyad, w, dist, sum(n) OVER f AS n, sum(c) OVER f AS c FROM ({curve}) u WINDOW f AS (PARTITION BY model_name, model_type, dyad, w ORDER BY dist)"
+    of_models = as_of("model_name, model_type, dyad, w", summed, ("n", "c"), "SELECT k_max FROM grid") if d.spark else f"SELECT g.k_max, u.model_name, u.model_type, u.dyad, u.w, sum(u.n) AS n, sum(u.c) AS c FROM grid g JOIN ({curve}) u ON u.dist <= g.k_max GROUP BY g.k_max, u.model_name, u.model_type, u.dyad, u.w"
+    q["model_curve"] = f"SELECT k_max, model_name, model_type, CASE WHEN k_max <= w THEN round(avg(c / n), 9) END AS tpr FROM ({of_models}) x GROUP BY k_max, model_name, model_type, w"
     rates = f"SELECT k_max, avg(CASE WHEN speaker = 'child' THEN rate END) AS c, avg(CASE WHEN speaker = 'mother' THEN rate END) AS m, avg(CASE WHEN speaker = 'other_adult' THEN rate END) AS o FROM ({per_k}) pk2 GROUP BY k_max"
     q["human_envelope"] = f"SELECT k_max, {r9('least(c, m, o)', 'low')}, {r9('greatest(c, m, o)', 'high')} FROM ({rates}) x"
     counts = f"SELECT speaker, dist, sum(n) OVER w AS n, sum(sw) OVER w AS sw FROM (SELECT speaker, dist, sum(n) AS n, sum(sw) AS sw FROM {hist} GROUP BY speaker, dist) h3 WINDOW w AS (PARTITION BY speaker ORDER BY dist)"
     # K runs from 1 to 200 and beyond all; a window above 200 gets K = 200, one below the first K the first.
-    q["window_reference"] = f"SELECT m.model_name, m.model_type, s.speaker, least(greatest(m.window_lines, 1), 200) AS k, round(max(c.sw) / CAST(max(c.n) AS DOUBLE), 9) AS reference FROM models m CROSS JOIN (VALUES ('child'), ('mother')) AS s(speaker) LEFT JOIN ({counts}) c ON c.speaker = s.speaker AND c.dist <= least(greatest(m.window_lines, 1), 200) GROUP BY m.model_name, m.model_type, s.speaker, m.window_lines"
-    q["k_grid"] = "SELECT DISTINCT CAST(floor(1 + i * (200 - 1) / 39.0) AS INT) AS k FROM (" + ("SELECT explode(sequence(0, 39)) AS i" if d.spark else "SELECT unnest(range(0, 40)) AS i") + ") g"
+    at_grid = as_of("speaker", counts, ("n", "sw"), "SELECT k_max FROM grid") if d.spark else f"SELECT g.k_max, c.speaker, max(c.n) AS n, max(c.sw) AS sw FROM grid g JOIN ({counts}) c ON c.dist <= g.k_max GROUP BY g.k_max, c.speaker"
+    q["window_reference"] = f"SELECT m.model_name, m.model_type, s.speaker, least(greatest(m.window_lines, 1), 200) AS k, round(c.sw / CAST(c.n AS DOUBLE), 9) AS reference FROM models m CROSS JOIN (VALUES ('child'), ('mother')) AS s(speaker) LEFT JOIN ({at_grid}) c ON c.speaker = s.speaker AND c.k_max = least(greatest(m.window_lines, 1), 200)"
+    forty = "SELECT explode(sequence(0, 39)) AS i" if d.spark else "SELECT unnest(range(0, 40)) AS i"
+    q["k_grid"] = f"SELECT g.k, c.speaker, CAST(c.n AS BIGINT) AS n_cases FROM (SELECT DISTINCT CAST(floor(1 + i * (200 - 1) / 39.0) AS BIGINT) AS k FROM ({forty}) i0) g JOIN ({at_grid}) c ON c.k_max = g.k"
     q["context_cap"] = f"SELECT {r9('avg_tokens', 'avg_tokens')}, tokens, CAST(greatest(10, CAST(floor(tokens / avg_tokens) AS BIGINT) + 5) AS BIGINT) AS max_lines FROM (SELECT greatest(1.0, sum(length(text)) / CAST(greatest(count(*), 1) AS DOUBLE) / 4.0) AS avg_tokens FROM (SELECT text FROM utterances WHERE text IS NOT NULL ORDER BY session, line_num LIMIT 2000) s) a CROSS JOIN (SELECT greatest(512, max({_window('model_name', 'model_type')})) AS tokens FROM models) b"
-    q["window_tiers"] = "SELECT model_name, model_type, window_lines, CASE WHEN window_lines < 20 THEN 'small' WHEN window_lines < 80 THEN 'medium' ELSE 'large' END AS tier FROM models"
+    q["window_tiers"] = "SELECT model_name, model_type, window_lines, CASE WHEN window_lines < 20 THEN 'small' WHEN window_lines < 80 THEN 'medium' ELSE 'large' END AS tier, n_sites FROM scored_models"
 
     # Audits and summaries
     q["visibility_audit"] = f"SELECT model_name, model_type, count(*) AS n, {r9('100 * avg(CASE WHEN in_window THEN 0e0 ELSE 1e0 END)', 'percent_out')}, row_number() OVER (ORDER BY avg(CASE WHEN in_window THEN 0e0 ELSE 1e0 END) DESC, model_name, model_type) AS place FROM cases GROUP BY model_name, model_type"
     strip = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9 ]', ''{'' if d.spark else ', ' + chr(39) + 'g' + chr(39)}))"
     near = "SELECT t.session, t.line_num, t.pair_index, t.noun, t.true_dist, t.previous_sentence, t.sentence, t.speaker, u.pos FROM distances t JOIN lines u ON u.session = t.session AND u.line_num = t.line_num"
-    shown = lambda w, label: f"SELECT t.session, t.line_num, t.pair_index, {d.listed('shown', 'pos')} AS context FROM (SELECT t.session, t.line_num, t.pair_index, u.pos, {label} || ' ' || u.text AS shown FROM ({near}) t JOIN lines u ON u.session = t.session AND u.pos >= t.pos - {w} AND u.pos < t.pos) t GROUP BY t.session, t.line_num, t.pair_index"
+    near = "SELECT session, line_num, pair_index, noun, true_dist, previous_sentence, sentence, speaker, pos FROM distances" if d.spark else near
+    shown = (lambda w, label: f"SELECT session, line_num, context FROM ({rendered(w, label.replace('u.', '') + ' || chr(32)')}) r WHERE pos > 1") if d.spark else lambda w, label: f"SELECT t.session, t.line_num, t.pair_index, {d.listed('shown', 'pos')} AS context FROM (SELECT t.session, t.line_num, t.pair_index, u.pos, {label} || ' ' || u.text AS shown FROM ({near}) t JOIN lines u ON u.session = t.session AND u.pos >= t.pos - {w} AND u.pos < t.pos) t GROUP BY t.session, t.line_num, t.pair_index"
+    here = "c.session = t.session AND c.line_num = t.line_num" + ("" if d.spark else " AND c.pair_index = t.pair_index")
     childes = "CASE WHEN u.speaker = 'child' THEN '*CHI:' WHEN u.speaker = 'mother' THEN '*MOT:' ELSE '*OTH:' END"
-    q["input_audit"] = f"SELECT in_window, count(*) AS n, {r9('100 * avg(CASE WHEN held THEN 1e0 ELSE 0e0 END)', 'percent_held')}, CASE WHEN in_window THEN avg(CASE WHEN held THEN 1e0 ELSE 0e0 END) > 0.999 END AS sound FROM (SELECT t.true_dist <= 3 AS in_window, contains({strip('c.context')}, {strip('t.previous_sentence')}) AS held FROM ({near}) t JOIN ({shown(3, childes)}) c ON c.session = t.session AND c.line_num = t.line_num AND c.pair_index = t.pair_index) x GROUP BY in_window"
+    q["input_audit"] = f"SELECT in_window, count(*) AS n, {r9('100 * avg(CASE WHEN held THEN 1e0 ELSE 0e0 END)', 'percent_held')}, CASE WHEN in_window THEN avg(CASE WHEN held THEN 1e0 ELSE 0e0 END) > 0.999 END AS sound FROM (SELECT t.true_dist <= 3 AS in_window, contains({strip('c.context')}, {strip('t.previous_sentence')}) AS held FROM ({near}) t JOIN ({shown(3, childes)}) c ON {here}) x GROUP BY in_window"
     word = "rlike(c.context, concat('(?i)\\\\b\\\\Q', t.noun, '\\\\E\\\\b'))" if d.spark else "regexp_matches(c.context, '(?i)\\b' || t.noun || '\\b')"
-    q["annotation_prompts"] = f"SELECT t.session, t.line_num, t.pair_index, c.context || chr(10) || CASE WHEN t.speaker = 'child' THEN '*CHI: ' WHEN t.speaker = 'mother' THEN '*MOT: ' ELSE '*OTH: ' END || substr(s.sentence, 1, s.det_char_start) || '____' || substr(s.sentence, s.det_char_end + 1) AS prompt, {word} AS noun_present FROM ({near}) t JOIN ({shown(10, childes)}) c ON c.session = t.session AND c.line_num = t.line_num AND c.pair_index = t.pair_index JOIN sites s ON s.session = t.session AND s.line_num = t.line_num AND s.pair_index = t.pair_index"
+    q["annotation_prompts"] = f"SELECT t.session, t.line_num, t.pair_index, c.context || chr(10) || CASE WHEN t.speaker = 'child' THEN '*CHI: ' WHEN t.speaker = 'mother' THEN '*MOT: ' ELSE '*OTH: ' END || substr(s.sentence, 1, s.det_char_start) || '____' || substr(s.sentence, s.det_char_end + 1) AS prompt, {word} AS noun_present FROM ({near}) t JOIN ({shown(10, childes)}) c ON {here} JOIN sites s ON s.session = t.session AND s.line_num = t.line_num AND s.pair_index = t.pair_index"
     # Eligible: a child's site of distance 10 at most that three models have scored, whose noun is in the prompt; ranked by the least confidence.
     three = "SELECT p.session, p.line_num, p.pair_index, count(*) AS n_models, avg(2 * abs(p.p_the - 0.5)) AS mean_conf, min(2 * abs(p.p_the - 0.5)) AS min_conf, count(CASE WHEN p.p_the > 0.5 THEN 1 END) AS n_the FROM predictions p WHERE p.model_name IN ('ltg/ltg-bert-bnc', 'roberta-base', 'google/t5-base') AND p.p_the IS NOT NULL GROUP BY p.session, p.line_num, p.pair_index HAVING count(DISTINCT p.model_name) = 3"
-    eligible = f"SELECT t.session, t.line_num, t.pair_index, round(e.mean_conf, 9) AS mean_conf, round(e.min_conf, 9) AS min_conf, e.n_the FROM ({near}) t JOIN ({three}) e ON e.session = t.session AND e.line_num = t.line_num AND e.pair_index = t.pair_index JOIN ({shown(10, childes)}) c ON c.session = t.session AND c.line_num = t.line_num AND c.pair_index = t.pair_index WHERE t.speaker = 'child' AND t.true_dist <= 10 AND {word}"
+    eligible = f"SELECT t.session, t.line_num, t.pair_index, round(e.mean_conf, 9) AS mean_conf, round(e.min_conf, 9) AS min_conf, e.n_the FROM ({near}) t JOIN ({three}) e ON e.session = t.session AND e.line_num = t.line_num AND e.pair_index = t.pair_index JOIN ({shown(10, childes)}) c ON {here} WHERE t.speaker = 'child' AND t.true_dist <= 10 AND {word}"
     order = "session, line_num, pair_index"
     band = lambda name, way: f"SELECT '{name}' AS band, * FROM (SELECT * FROM ({eligible}) e0 ORDER BY min_conf {way}, mean_conf {way}, {order} LIMIT 36) {name}_b"
     q["annotation_bands"] = f"SELECT * FROM ({band('high', 'DESC')} UNION ALL {band('low', 'ASC')}) x"
@@ -131,16 +142,19 @@ def texts(d: Dialect) -> dict[str, str]:
     q["discourse_inputs"] = "SELECT s.dyad, s.session, s.line_num, s.pair_index, s.speaker, s.noun, s.det AS original_det, s.det_char_start, s.det_char_end, substr(s.sentence, 1, s.det_char_start) || '{{MASK}}' || substr(s.sentence, s.det_char_end + 1) AS masked_position, u.context_start AS context_start_line_num FROM sites s JOIN lines u ON u.session = s.session AND u.line_num = s.line_num".replace("{{", "{").replace("}}", "}")
     q["cross_speaker_inputs"] = q["cross_speaker_inputs"].replace("{{MASK}}", "{MASK}")
     # A prompt's budget is the model's; a target that doesn't fit alone is skipped. Whole lines only.
-    q["discourse_budget"] = "SELECT m.model_name, m.model_type, t.session, t.line_num, t.tokens, count(u.line_num) AS context_length, coalesce(min(u.line_num), t.line_num) AS start_line, count(u.line_num) < t.pos - 1 AS truncated FROM (SELECT *, CAST(max_tokens / 8 AS INT) AS room FROM models) m CROSS JOIN lines t LEFT JOIN lines u ON u.session = t.session AND u.pos < t.pos AND t.upto - t.tokens - u.upto + u.tokens <= m.room - t.tokens - 10 WHERE t.tokens + 10 <= m.room GROUP BY m.model_name, m.model_type, t.session, t.line_num, t.tokens, t.pos"
+    fits = ", ".join(f"WHEN {r} THEN struct(n_{r - 10} AS n, start_{r - 10} AS start)" for r in ROOMS)
+    fits = f"CASE m.room {fits.replace(', WHEN', ' WHEN')} END"
+    rooms = "(SELECT *, CAST(max_tokens / 8 AS INT) AS room FROM models) m"
+    q["discourse_budget"] = f"SELECT model_name, model_type, session, line_num, tokens, f.n AS context_length, coalesce(f.start, line_num) AS start_line, f.n < pos - 1 AS truncated FROM (SELECT m.model_name, m.model_type, t.session, t.line_num, t.tokens, t.pos, {fits} AS f FROM {rooms} JOIN ({budgeted([r - 10 for r in ROOMS])}) t ON t.tokens + 10 <= m.room) x" if d.spark else "SELECT m.model_name, m.model_type, t.session, t.line_num, t.tokens, count(u.line_num) AS context_length, coalesce(min(u.line_num), t.line_num) AS start_line, count(u.line_num) < t.pos - 1 AS truncated FROM (SELECT *, CAST(max_tokens / 8 AS INT) AS room FROM models) m CROSS JOIN lines t LEFT JOIN lines u ON u.session = t.session AND u.pos < t.pos AND t.upto - t.tokens - u.upto + u.tokens <= m.room - t.tokens - 10 WHERE t.tokens + 10 <= m.room GROUP BY m.model_name, m.model_type, t.session, t.line_num, t.tokens, t.pos"
     q["isolated_scores"] = f"SELECT model_name, model_type, dyad, speaker, count(*) AS n, {r9('avg(p_the)', 'mean_the')}, {r9('avg(CASE WHEN argmax = det THEN 1e0 ELSE 0e0 END)', 'argmax_accuracy')}, {r9('avg(CASE WHEN sampled = det THEN 1e0 ELSE 0e0 END)', 'sample_accuracy')} FROM predictions GROUP BY model_name, model_type, dyad, speaker"
 
     # Names and cells
-    q["model_keys"] = f"SELECT model_name, model_type || '::' || model_name AS model_key, base_name, {L.arch('model_type')} AS arch, {L.family('base_name', 'model_type')} AS family, CASE WHEN model_type = 'mlm' THEN '' ELSE '_' || model_type END AS suffix FROM models"
+    q["model_keys"] = f"SELECT model_name, model_type || '::' || model_name AS model_key, base_name, {L.arch('model_type')} AS arch, {L.family('base_name', 'model_type')} AS family, CASE WHEN model_type = 'mlm' THEN '' ELSE '_' || model_type END AS suffix FROM (SELECT s.*, k.base_name FROM scored_models s JOIN models k ON k.model_name = s.model_name) m"
     gap, mark = ("\\\\s+([.,!?;:])", "$1") if d.spark else ("\\s+([.,!?;:])", "\\1")
     space, g = ("\\\\s+" if d.spark else "\\s+"), ("" if d.spark else ", 'g'")
     q["punctuation_normal"] = f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '{gap}', '{mark}'{g}), '{space}', ' '{g})) AS normal FROM conversations"
-    ps = "(VALUES (1, CAST(0.0001 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.1234 AS DOUBLE)), (2, 0.0051, 0.25, NULL), (3, 0.0456, NULL, 0.1), (4, 0.05, 0.8, 0.0), (5, 0.2, 0.33333, 0.66666), (6, NULL, 1.0, 2.0)) AS v(row_id, p, m, sd)"
-    q["report_cells"] = f"SELECT row_id, {L.stars('p')} AS stars, {L.p_text(d, 'p')} AS p_text, {L.mark('p')} AS mark, {L.test_cell(d, 'p')} AS cell, {L.mean_sd(d, 'm', 'sd')} AS mean_sd FROM {ps}"
+    cells = f"SELECT v.speaker, v.p, m.mean AS m, m.sd FROM ({tested(d, 'SELECT speaker, empirical - predicted AS x FROM humans', 'speaker')}) v JOIN (SELECT speaker, avg(empirical) AS mean, stddev_samp(empirical) AS sd FROM humans GROUP BY speaker) m ON m.speaker = v.speaker"
+    q["report_cells"] = f"SELECT speaker, {L.stars('p')} AS stars, {L.p_text(d, 'p')} AS p_text, {L.mark('p')} AS mark, {L.test_cell(d, 'p')} AS cell, {L.mean_sd(d, 'm', 'sd')} AS mean_sd FROM ({cells}) x"
 
     # Report tables
     child_sig = f"(SELECT * FROM ({sig}) g0 WHERE speaker = 'child') o"

@@ -53,7 +53,7 @@ def test_last_mention_equals_a_loop(spark):
 
     rng = random.Random(3)
     rows = [(1, rng.randrange(3), line, 1, rng.choice(["child", "mother", "other_adult", None]), rng.choice("ab"), rng.choice(["a", "the"])) for line in range(120)]
-    spark.createDataFrame(rows, "dyad int, session int, line_num int, pair_index int, speaker string, item string, det string").selectExpr("*", "'s' AS sentence").createOrReplaceTempView("sites_case")
+    spark.createDataFrame(rows, "dyad int, session int, line_num int, pair_index int, speaker string, item string, det string").selectExpr("*", "'s' AS sentence", "0 AS pos", "0 AS upto", "0 AS tokens").createOrReplaceTempView("sites_case")
     p = parts(SPARK)
     text = f"WITH sites AS (SELECT * FROM sites_case), mentions AS ({p['mentions']}), transitions AS ({p['transitions']}) SELECT session, line_num, previous_det FROM transitions"
     last, expected = {}, set()
