@@ -83,7 +83,7 @@ def texts(d: Dialect) -> dict[str, str]:
     q["bias_tests"] = "SELECT test, n, " + f"{r9('mean', 'difference')}, {r9('t', 't', 6)}, {r9('p', 'p', 7)} FROM (" + tested(d, " UNION ALL ".join(f"SELECT '{name}' AS test, {x} AS x FROM {wide}" for name, x in four_bias), "test") + ") x"
     rows = ", ".join(f"('{who}', CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for who, (xs, ys) in YANG_VALIAN.items() for x, y in zip(xs, ys, strict=True))
     points = f"SELECT speaker, 'published' AS source, x, y FROM (VALUES {rows}) AS v(speaker, x, y) UNION ALL SELECT speaker, 'corpus' AS source, s / CAST(n AS DOUBLE) AS x, empirical AS y FROM humans"
-    q["literature_pearson"] = f"SELECT speaker, source, n, {r9('r', 'r')}, round({p_value(d, '(r * sqrt((n - 2) / nullif(1 - r * r, 0)))', '(n - 2)')}, 8) AS p FROM (SELECT speaker, source, count(*) AS n, corr(x, y) AS r FROM ({points}) p0 GROUP BY speaker, source) c"
+    q["literature_pearson"] = f"SELECT speaker, source, n, {r9('r', 'r')}, round({p_value(d, '(r * sqrt((n - 2) / nullif(1 - r * r, 0)))', '(n - 2)')}, 8) AS p FROM (SELECT speaker, source, count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM ({points}) p0 GROUP BY speaker, source) c"
 
     # Curves and references by window
     curve = "SELECT model_name, model_type, dyad, true_dist AS dist, count(*) AS n, sum(contrib) AS c, max(window_lines) AS w FROM cases WHERE speaker = 'child' GROUP BY model_name, model_type, dyad, true_dist"
