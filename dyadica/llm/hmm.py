@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-STATES, ROUNDS, SEGMENT, BUCKETS, LEAST_CLASSES, MIX, DELTA = 8, 5, 256, 256, 8192, 0.02, 0.5
-STICK, SPREAD, SEED, BATCH_TOKENS, HELD_WORDS, SCALED = 0.9, 0.7, 12, 1 << 17, 1 << 20, 8
+STATES, ROUNDS, SEGMENT, BUCKETS, LEAST_CLASSES, MIX, DELTA = 8, 5, 512, 256, 8192, 0.02, 0.5
+STICK, SPREAD, SEED, BATCH_TOKENS, HELD_WORDS, SCALED = 0.9, 0.7, 12, 1 << 18, 1 << 20, 8
 END = b""
 TRANSITIONS, FIRST, LIKELIHOOD = -1, -2, -3
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words as lower-cased bytes, which split at the same six characters, and the end."""
-    words = (text or "").encode().lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    """The words of a UTF-8 text as lower-cased bytes, which split at the same six characters, and the end."""
+    words = (text or b"").lower().split()
     words.append(END)
     return words
 
@@ -60,7 +60,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
+            for text in batch.column(0).cast(pa.binary()):
                 held.update(tokens(text.as_py()))
                 if len(held) >= HELD_WORDS:
                     yield counted(held)
@@ -107,24 +107,31 @@ def encode(docs: DataFrame, vocab: dict) -> DataFrame:
         base[frequent:] = -math.log10(all_tokens)  # the rest comes by the join
         within = np.zeros(len(base))
         within[frequent:] = -np.log10(vocab["total"][frequent:])
-        known = (vocab["seen"] > 0) & (np.arange(len(base)) < frequent)
+        known = ((vocab["seen"] > 0) & (np.arange(len(base)) < frequent)).astype("int64")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, n, sums, rare = [], [], [], []
-                for text in part.column("text"):
+                ids, n, rare, times, different = [], [], [], [], []
+                for text in part.column("text").cast(pa.binary()):
                     words = tokens(text.as_py())
                     found = np.fromiter(map(code.get, words, itertools.repeat(-1)), "int32", len(words))
-                    others = np.flatnonzero(found < 0)
-                    if len(others):
-                        found[others] = [frequent + zlib.crc32(words[i]) % BUCKETS for i in others]
-                    rare.append([{"word": w.decode(), "times": k} for w, k in Counter(words[i] for i in others).items()])
+                    others = [words[i] for i in np.flatnonzero(found < 0)]
+                    if others:
+                        found[found < 0] = [frequent + zlib.crc32(w) % BUCKETS for w in others]
+                        own = Counter(others)
+                        rare.extend(own)
+                        times.extend(own.values())
+                        different.append(len(own))
+                    else:
+                        different.append(0)
                     ids.append(found)
                     n.append(len(found))
-                    sums.append((int(known[found].sum()), float(base[found].sum()), float(within[found].sum())))
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
-                rare_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
-                columns = [part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), *[pa.array([s[i] for s in sums]) for i in range(3)], listed, pa.array(rare, rare_type)]
+                ends, flat = np.concatenate([[0], np.cumsum(n)]), np.concatenate(ids)
+                sums = [np.add.reduceat(x[flat], ends[:-1]) for x in (known, base, within)]
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "times"])
+                rare_listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(different)]), pa.int32()), pairs)
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), *map(pa.array, sums), listed, rare_listed]
                 yield pa.record_batch(columns, [c.split()[0] for c in shape.split("; ")])
 
     shape = "doc_id long; held_out boolean; n_tokens long; n_frequent long; base double; within double; ids array<int>; rare array<struct<word:string,times:int>>"
