@@ -95,6 +95,11 @@ def vocabulary(counts: DataFrame, classes: int | None = None) -> dict:
     return {"n": int(n), "v": int(v), "code": code, "seen": seen, "total": seen + DELTA * types}
 
 
+def id_type(classes: int) -> str:
+    """The numbers that an encoded text is made of."""
+    return "<u2" if classes <= 1 << 16 else "<u4"
+
+
 def encode(docs: DataFrame, vocab: dict) -> DataFrame:
     """Each text's classes, what frequent words give to the base score and to known tokens, and its other words with their number; written, with a number for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as many words as classes
@@ -102,6 +107,8 @@ def encode(docs: DataFrame, vocab: dict) -> DataFrame:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         code, frequent = vocab["code"], len(vocab["code"])
+        kind = id_type(len(vocab["total"]))
+        size = np.dtype(kind).itemsize
         all_tokens = vocab["n"] + DELTA * (vocab["v"] + 1)
         base = np.log10(vocab["seen"] + DELTA) - math.log10(all_tokens)
         base[frequent:] = -math.log10(all_tokens)  # the rest comes by the join
@@ -128,13 +135,14 @@ def encode(docs: DataFrame, vocab: dict) -> DataFrame:
                     n.append(len(found))
                 ends, flat = np.concatenate([[0], np.cumsum(n)]), np.concatenate(ids)
                 sums = [np.add.reduceat(x[flat], ends[:-1]) for x in (known, base, within)]
-                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                packed = flat.astype(kind).tobytes()
+                listed = pa.array([packed[size * a : size * b] for a, b in itertools.pairwise(ends.tolist())], pa.binary())
                 pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "times"])
                 rare_listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(different)]), pa.int32()), pairs)
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), *map(pa.array, sums), listed, rare_listed]
                 yield pa.record_batch(columns, [c.split()[0] for c in shape.split("; ")])
 
-    shape = "doc_id long; held_out boolean; n_tokens long; n_frequent long; base double; within double; ids array<int>; rare array<struct<word:string,times:int>>"
+    shape = "doc_id long; held_out boolean; n_tokens long; n_frequent long; base double; within double; ids binary; rare array<struct<word:string,times:int>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return written(rows.mapInArrow(own, shape.replace("; ", ", ")).withColumn("row", F.monotonically_increasing_id()), "encoded")
 
@@ -261,16 +269,16 @@ def expected(ids: np.ndarray, lengths: np.ndarray, model: dict, into: dict, size
     into["log"] += logs.sum()
 
 
-def in_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end, classes, lengths) for groups of rows of some BATCH_TOKENS tokens, at least one row."""
-    column = batch.column("ids")
-    lengths, values = column.value_lengths().to_numpy(zero_copy_only=False).astype("int64"), column.flatten().to_numpy()
+def in_batches(batch: pa.RecordBatch, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, lengths) of groups of rows of some BATCH_TOKENS tokens, at least one row."""
+    kind = id_type(classes)
+    texts = batch.column("ids").to_pylist()
+    lengths = np.array([len(x) for x in texts], "int64") // np.dtype(kind).itemsize
     ends = np.cumsum(lengths)
     at = 0
     while at < len(lengths):
-        done = ends[at] - lengths[at]
-        end = max(at + 1, int(np.searchsorted(ends, done + BATCH_TOKENS, side="right")))
-        yield at, end, values[done : ends[end - 1]], lengths[at:end]
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + BATCH_TOKENS, side="right")))
+        yield np.frombuffer(b"".join(texts[at:end]), kind), lengths[at:end]
         at = end
 
 
@@ -282,7 +290,7 @@ def one_round(encoded: DataFrame, model: dict, tasks: int) -> dict:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = {"emit": np.zeros((classes, states)), "next": np.zeros((states, states)), "first": np.zeros(states), "log": 0.0}
         for batch in batches:
-            for _, _, ids, lengths in in_batches(batch):
+            for ids, lengths in in_batches(batch, classes):
                 expected(ids, lengths, shared.value, into)
         rows = np.flatnonzero(into["emit"].any(1))
         keys = np.concatenate([rows, [TRANSITIONS - 3 * s for s in range(states)], [FIRST, LIKELIHOOD]])
@@ -333,7 +341,7 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: dict, model: dict) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logs = [likelihoods(ids, lengths, shared.value) for _, _, ids, lengths in in_batches(batch)]
+            logs = [likelihoods(ids, lengths, shared.value) for ids, lengths in in_batches(batch, len(shared.value["emit"]))]
             kept = [c for c in batch.schema.names if c != "ids"]
             yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(np.concatenate(logs) / math.log(10) if logs else np.zeros(0))], [*kept, "path"])
 

@@ -2,7 +2,7 @@
 
 Tokens are runs of letters, digits and `_`, or runs of other visible characters. Unigrams and bigrams are hashed into
 buckets, whose number grows with the square root of the corpus's bytes, as vocabularies do (`buckets_of`); two multinomials
-with add-one smoothing count them, one over all documents, one over trusted documents. The log ratios are broadcast, 4 bytes
+with add-one smoothing count them, one over all documents, one over trusted documents. The log ratios are a constant of the plan, 4 bytes
 a bucket: 4 MB for 30 GB, 256 MB for 100 TB. A
 document's score is the mean, over its n-grams, of ln P_trusted - ln P_raw; it is kept if the score is at least THRESHOLD.
 Every document is judged the same way, by whole text. The trusted multinomial is fitted on at most TRUSTED_ROWS trusted
@@ -15,7 +15,10 @@ whose own columns replace those of the same name.
 
 from __future__ import annotations
 
+import contextlib
 import math
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,14 +81,30 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted_
     return cells.select(F.transform("c", lambda x: (F.ln((x["target"] + 1) / (F.col("t") + buckets)) - F.ln((x["raw"] + 1) / (F.col("r") + buckets))).cast("float")).alias("ratio"))
 
 
+@contextlib.contextmanager
+def held(row: DataFrame) -> Iterator[Column]:
+    """The only value of row as a constant: a variable of the session, which a plan that is analysed inside keeps as a literal.
+
+    Joined to documents, the value would be copied for each of them, and subqueries may not stand beside lambdas.
+    """
+    spark, name = row.sparkSession, f"_held_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
+    try:
+        spark.sql(f"SET VAR {name} = (SELECT * FROM {{row}})", row=row)
+        yield F.expr(name)
+    finally:
+        spark.sql(f"DROP TEMPORARY VARIABLE {name}")
+
+
 def score(docs: DataFrame, trusted: DataFrame, *, buckets: int | None = None, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """docs (doc_id, text, ...) with the base measures, base_failed, llr and kept. trusted: doc_id of trusted documents."""
-    made = (*MEASURES, "base_failed", "llr", "kept", "found", "_ratio")
+    made = (*MEASURES, "base_failed", "llr", "kept", "found")
     buckets = buckets or buckets_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     ratio = written(ratios(docs, trusted, buckets, trusted_rows).withColumnRenamed("ratio", "_ratio"), "ratios")
-    mean = let(grams(F.col("text"), buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get("_ratio", b)) / F.greatest(F.size(g), F.lit(1)))
-    rows = docs.drop("_ratio").crossJoin(F.broadcast(ratio))  # one row
-    rows = rows.select(*[c for c in docs.columns if c not in made], *[c.alias(k) for k, c in measures(F.col("text")).items()], mean.alias("llr"))
+    with held(ratio) as whole:
+        mean = let(grams(F.col("text"), buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(whole, b)) / F.greatest(F.size(g), F.lit(1)))
+        scored = docs.withColumn("llr", mean)
+    rows = scored.select(*[c for c in docs.columns if c not in made], *[c.alias(k) for k, c in measures(F.col("text")).items()], "llr")
     rows = rows.withColumns({"n_words": F.col("found.n"), "n_repeat_words": F.col("found.r")}).drop("found")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
