@@ -27,23 +27,44 @@ from .common import WORD, let, table, words, written
 
 BUCKETS, PER_ROOT, TRUSTED_ROWS, THRESHOLD = 1 << 14, 4, 50_000, -0.25
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+#: Bits of a window's place in the numbers that are sorted.
+PLACE_BITS = 20
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words inside 5-word windows that occur at least twice. Windows are compared by a 64-bit hash."""
-    n = F.size(w)
-    windows = F.when(n > 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)])))
+    """Words inside 5-word windows that occur at least twice. Windows are compared by a 64-bit hash of their words' hashes."""
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    windows = F.when(F.size(w) > 5, let(hashed, lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, 5)])), F.lit(1), F.size(h) - 4)))
+    return F.coalesce(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h))), F.lit(0).cast("long"))
 
-    def covered(hashes: Column) -> Column:
-        ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = let(ranked, lambda s: F.filter(s, lambda x, i: F.coalesce((x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]), F.lit(False))))
-        start = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("sum"))
-        step = lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(5), p - acc["last"])).alias("sum"))
-        return F.aggregate(F.sort_array(F.transform(twice, lambda x: x["i"])), start, step, lambda acc: acc["sum"])
 
-    return F.coalesce(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h))), F.lit(0).cast("long"))
+def _covered(hashes: Column) -> Column:
+    """Words in windows whose hash is there twice.
+
+    A number made of a hash's upper bits and the window's place sorts as fast as numbers do, and brings equal hashes together unless different ones
+    share these bits; where any do, or places don't fit, hash and place are sorted whole.
+    """
+    mask = F.lit((1 << PLACE_BITS) - 1).cast("long")
+    packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+    whole = lambda s, i: F.get(hashes, F.get(s, i).bitwiseAND(mask).cast("int"))
+    upper = lambda x: F.shiftright(x, PLACE_BITS)
+
+    def short(s: Column) -> Column:
+        mixed = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: (upper(F.get(s, i)) == upper(F.get(s, i - 1))) & (whole(s, i) != whole(s, i - 1)))
+        twice = F.filter(s, lambda x, i: F.coalesce((upper(x) == upper(F.get(s, i - 1))) | (upper(x) == upper(F.get(s, i + 1))), F.lit(False)))
+        return F.when(~mixed, F.transform(twice, lambda x: x.bitwiseAND(mask).cast("int")))
+
+    def long(s: Column) -> Column:
+        twice = F.filter(s, lambda x, i: F.coalesce((x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]), F.lit(False)))
+        return F.transform(twice, lambda x: x["i"])
+
+    ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    places = F.coalesce(F.when(F.size(hashes) < 1 << PLACE_BITS, let(packed, short)), let(ranked, long))
+    start = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("sum"))
+    step = lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(5), p - acc["last"])).alias("sum"))
+    return F.aggregate(F.sort_array(places), start, step, lambda acc: acc["sum"])
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -53,7 +74,7 @@ def measures(text: Column) -> dict[str, Column]:
     return {
         "found": found,
         "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 

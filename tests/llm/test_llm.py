@@ -64,6 +64,19 @@ def test_quality(spark):
     assert quality.score(d.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 3, 20, 62])
+def test_repeated_words_however_they_are_sorted(spark, monkeypatch, bits):
+    """With places that don't fit, with hashes that share their upper bits, and with few bits of hashes left."""
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 4, 5, 6, 7, 8, 9, 30, 90, 400)] + ["x y z v w " * 9, " ".join(map(str, range(70)))]
+    got = {r.doc_id: r.n for r in docs(spark, list(enumerate(texts))).select("doc_id", quality.measures(F.col("text"))["found"]["r"].alias("n")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        assert got[i] == len({k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(5)})
+
+
 def test_sharding(spark):
     for n in (1, 2, 3, 17, 1000):
         p = sharding.permute(np.arange(n), n)
