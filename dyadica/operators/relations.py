@@ -22,25 +22,24 @@ def _with_models(d: Dialect) -> dict[str, str]:
 
 
 #: A determiner that another word follows. Between two of them lies what the walk needs: lengths, and the next word.
-DET = r"(?<!\\p{L})(?i:an?|the)(?=\\P{L}+\\p{L})"
+DET = r"(?=[AaTt])(?<!\\p{L})(?i:an?|the)(?=\\P{L}+\\p{L})"
 
 
 def _sites(d: Dialect, source: str, keys: str) -> str:
     """Determiners followed by another word, with offsets in the text as it is written. Spark cuts each text at its determiners, folds over these pieces and explodes nothing but sites."""
     if d.spark:
         piece, det = "get(z.p, i - 1)", "get(z.d, i - 1)"
-        noun = "lower(regexp_extract(get(z.p, i), '^\\\\P{L}+(\\\\p{L}+)', 1))"
-        token = f"acc.tok + size(regexp_extract_all({piece}, '\\\\p{{L}}+', 0)) + 1"
-        start = f"acc.at + length({piece})"
+        noun, token, start = "get(z.p, i).noun", f"acc.tok + {piece}.words + 1", f"acc.at + {piece}.chars"
         site = f"named_struct('i', {token}, 'start', {start}, 'form', lower({det}), 'noun', {noun})"
         step = f"(acc, i) -> named_struct('at', {start} + length({det}), 'tok', {token}, 'out', CASE WHEN {noun} NOT IN ('', 'a', 'an', 'the') THEN concat(acc.out, array({site})) ELSE acc.out END)"
         none = "CAST(array() AS array<struct<i:int,start:int,form:string,noun:string>>)"
         walk = f"aggregate(sequence(1, size(z.d)), named_struct('at', 0, 'tok', 0, 'out', {none}), {step}, acc -> acc.out)"
+        cut = f"transform(split(text, '{DET}'), x -> named_struct('chars', length(x), 'words', size(regexp_extract_all(x, '\\\\p{{L}}+', 0)), 'noun', lower(regexp_extract(x, '^\\\\P{{L}}+(\\\\p{{L}}+)', 1))))"
         # z binds the pieces, which would else be cut anew at each step.
-        once = f"get(transform(array(named_struct('p', split(text, '{DET}'), 'd', regexp_extract_all(text, '{DET}', 0))), z -> CASE WHEN size(z.d) > 0 THEN {walk} END), 0)"
-        each = f"(SELECT {keys}, text, {once} AS found FROM {source}) AS b LATERAL VIEW explode(found) s AS site"
+        once = f"get(transform(array(named_struct('p', {cut}, 'd', regexp_extract_all(text, '{DET}', 0))), z -> CASE WHEN size(z.d) > 0 THEN {walk} END), 0)"
+        each = f"(SELECT {keys}, text, {once} AS found FROM {source}) AS b LATERAL VIEW OUTER explode(found) s AS site"  # without OUTER, Spark filters by found first and so walks each text again
         return f"""SELECT {keys}, text AS sentence, site.i AS pair_index, site.form AS form, CASE WHEN site.form = 'the' THEN 'the' ELSE 'a' END AS det, site.noun AS noun,
-          site.start AS det_char_start, site.start + length(site.form) AS det_char_end FROM {each}"""
+          site.start AS det_char_start, site.start + length(site.form) AS det_char_end FROM {each} WHERE site.i IS NOT NULL"""
     tk = f"(SELECT *, {d.tokens('text')} AS tk, {d.separators('text')} AS sp FROM {source})"
     base = f"(SELECT *, len(tk) AS n_tokens FROM {tk} AS a)"
     each = d.each("i", "1", "n_tokens - 1", f"{base} AS b")
