@@ -11,6 +11,7 @@ from . import reports
 from .dialect import DUCKDB, SPARK, Dialect
 from .functions.formulas import p_value, with_predicted
 from .functions.labels import family, stars
+from .operators import noun_phrases
 from .operators.relations import as_of, budgeted, named, needed, parts, rendered, shared, sql
 from .plans.store import Store, signature
 
@@ -201,5 +202,5 @@ def _ngrams_sql() -> str:
     return sql(DUCKDB, "SELECT * FROM sites").rsplit("\nSELECT", 1)[0] + ngram.SQL
 
 
-QUERIES = {name: _run(name) for name in texts(SPARK)} | {"text_clean": _clean, "ngram_scores": _ngrams}
-SQL = {name: _duck(name, text) for name, text in texts(DUCKDB).items()} | {"ngram_scores": _ngrams_sql()}
+QUERIES = {name: _run(name) for name in texts(SPARK)} | {"text_clean": _clean, "ngram_scores": _ngrams, "noun_phrases": noun_phrases.query}
+SQL = {name: _duck(name, text) for name, text in texts(DUCKDB).items()} | {"ngram_scores": _ngrams_sql(), "noun_phrases": noun_phrases.duck_sql()}
