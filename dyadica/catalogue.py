@@ -11,7 +11,7 @@ from . import reports
 from .dialect import DUCKDB, SPARK, Dialect
 from .functions.formulas import p_value, with_predicted
 from .functions.labels import family, stars
-from .operators import noun_phrases
+from .operators import noun_phrases, pair_overlap
 from .operators.relations import as_of, budgeted, named, needed, parts, rendered, shared, sql
 from .plans.store import Store, signature
 
@@ -196,11 +196,16 @@ def _ngrams(spark, sf_dir, store=None, always=()):
     return ngram.query(spark, sf_dir, store, always)
 
 
+def _behind(relation: str, text: str) -> str:
+    """text, which goes on with the expressions, behind those that relation needs."""
+    return sql(DUCKDB, f"SELECT * FROM {relation}").rsplit("\nSELECT", 1)[0] + text
+
+
 def _ngrams_sql() -> str:
     from .plans import ngram
 
-    return sql(DUCKDB, "SELECT * FROM sites").rsplit("\nSELECT", 1)[0] + ngram.SQL
+    return _behind("sites", ngram.SQL)
 
 
-QUERIES = {name: _run(name) for name in texts(SPARK)} | {"text_clean": _clean, "ngram_scores": _ngrams, "noun_phrases": noun_phrases.query}
-SQL = {name: _duck(name, text) for name, text in texts(DUCKDB).items()} | {"ngram_scores": _ngrams_sql(), "noun_phrases": noun_phrases.duck_sql()}
+QUERIES = {name: _run(name) for name in texts(SPARK)} | {"text_clean": _clean, "ngram_scores": _ngrams, "noun_phrases": noun_phrases.query, "pair_overlap": pair_overlap.query}
+SQL = {name: _duck(name, text) for name, text in texts(DUCKDB).items()} | {"ngram_scores": _ngrams_sql(), "noun_phrases": noun_phrases.duck_sql(), "pair_overlap": _behind("docsites", pair_overlap.SQL)}

@@ -141,6 +141,13 @@ def texts(d: Dialect) -> dict[str, str]:
     q["intervening_rows"] = f"SELECT t.session, t.line_num, t.pair_index, {d.listed('shown', 'place')} AS between_lines FROM (SELECT DISTINCT t.session, t.line_num, t.pair_index, s.line_num AS place, s.speaker || ': ' || s.sentence AS shown FROM transitions t JOIN sites s ON s.session = t.session AND s.line_num > t.previous_line AND s.line_num < t.line_num) t GROUP BY t.session, t.line_num, t.pair_index"
     q["discourse_inputs"] = "SELECT s.dyad, s.session, s.line_num, s.pair_index, s.speaker, s.noun, s.det AS original_det, s.det_char_start, s.det_char_end, substr(s.sentence, 1, s.det_char_start) || '{{MASK}}' || substr(s.sentence, s.det_char_end + 1) AS masked_position, u.context_start AS context_start_line_num FROM sites s JOIN lines u ON u.session = s.session AND u.line_num = s.line_num".replace("{{", "{").replace("}}", "}")
     q["cross_speaker_inputs"] = q["cross_speaker_inputs"].replace("{{MASK}}", "{MASK}")
+    # The attested mode: cases with a mention by the other speaker, of items that both have used with both determiners by that session.
+    q["attested_inputs"] = f"SELECT c.* FROM ({q['cross_speaker_inputs']}) c JOIN restricted t ON t.session = c.session AND t.line_num = c.line_num AND t.pair_index = c.pair_index WHERE c.has_prior_mention"
+    # Two corpora, the even and the odd sessions: Welch's test of their dyads' rates for each speaker.
+    halves = "SELECT speaker, session % 2 AS corpus, dyad, avg(CASE WHEN det <> previous_det THEN 1e0 ELSE 0e0 END) AS tpr FROM transitions GROUP BY speaker, session % 2, dyad"
+    of_half = lambda i: f"(SELECT speaker, count(*) AS n, avg(tpr) AS mean, var_samp(tpr) AS v FROM ({halves}) h WHERE corpus = {i} GROUP BY speaker)"
+    welch = f"SELECT a.speaker, a.n AS n_even, b.n AS n_odd, a.mean AS mean_even, b.mean AS mean_odd, (a.mean - b.mean) / nullif(sqrt(a.v / a.n + b.v / b.n), 0) AS t, pow(a.v / a.n + b.v / b.n, 2) / nullif(pow(a.v / a.n, 2) / nullif(a.n - 1, 0) + pow(b.v / b.n, 2) / nullif(b.n - 1, 0), 0) AS df FROM {of_half(0)} a JOIN {of_half(1)} b ON b.speaker = a.speaker"
+    q["corpus_equivalence"] = f"SELECT speaker, n_even, n_odd, {r9('mean_even', 'mean_even')}, {r9('mean_odd', 'mean_odd')}, {r9('t', 't', 7)}, {r9('df', 'df', 7)}, {r9(p_value_any(d, 't', 'df'), 'p', 6)} FROM ({welch}) w"
     # A prompt's budget is the model's; a target that doesn't fit alone is skipped. Whole lines only.
     fits = ", ".join(f"WHEN {r} THEN struct(n_{r - 10} AS n, start_{r - 10} AS start)" for r in ROOMS)
     fits = f"CASE m.room {fits.replace(', WHEN', ' WHEN')} END"
