@@ -110,7 +110,7 @@ def texts(d: Dialect) -> dict[str, str]:
     here = "c.session = t.session AND c.line_num = t.line_num" + ("" if d.spark else " AND c.pair_index = t.pair_index")
     childes = "CASE WHEN u.speaker = 'child' THEN '*CHI:' WHEN u.speaker = 'mother' THEN '*MOT:' ELSE '*OTH:' END"
     q["input_audit"] = f"SELECT in_window, count(*) AS n, {r9('100 * avg(CASE WHEN held THEN 1e0 ELSE 0e0 END)', 'percent_held')}, CASE WHEN in_window THEN avg(CASE WHEN held THEN 1e0 ELSE 0e0 END) > 0.999 END AS sound FROM (SELECT t.true_dist <= 3 AS in_window, contains({strip('c.context')}, {strip('t.previous_sentence')}) AS held FROM ({near}) t JOIN ({shown(3, childes)}) c ON {here}) x GROUP BY in_window"
-    word = "rlike(c.context, concat('(?i)\\\\b\\\\Q', t.noun, '\\\\E\\\\b'))" if d.spark else "regexp_matches(c.context, '(?i)\\b' || t.noun || '\\b')"
+    word = d.holds_word("c.context", "t.noun")
     q["annotation_prompts"] = f"SELECT t.session, t.line_num, t.pair_index, c.context || chr(10) || CASE WHEN t.speaker = 'child' THEN '*CHI: ' WHEN t.speaker = 'mother' THEN '*MOT: ' ELSE '*OTH: ' END || substr(s.sentence, 1, s.det_char_start) || '____' || substr(s.sentence, s.det_char_end + 1) AS prompt, {word} AS noun_present FROM ({near}) t JOIN ({shown(10, childes)}) c ON {here} JOIN sites s ON s.session = t.session AND s.line_num = t.line_num AND s.pair_index = t.pair_index"
     # Eligible: a child's site of distance 10 at most that three models have scored, whose noun is in the prompt; ranked by the least confidence.
     three = "SELECT p.session, p.line_num, p.pair_index, count(*) AS n_models, avg(2 * abs(p.p_the - 0.5)) AS mean_conf, min(2 * abs(p.p_the - 0.5)) AS min_conf, count(CASE WHEN p.p_the > 0.5 THEN 1 END) AS n_the FROM predictions p WHERE p.model_name IN ('ltg/ltg-bert-bnc', 'roberta-base', 'google/t5-base') AND p.p_the IS NOT NULL GROUP BY p.session, p.line_num, p.pair_index HAVING count(DISTINCT p.model_name) = 3"
