@@ -95,14 +95,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def join_common(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows left-joined to groups (unique keys; weight: how many rows have them), where a key may be in most of the rows.
+def join_common(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """rows joined to groups (unique keys; weight: how many rows have them), where a key may be in most of the rows. how: left, or inner for the rows of these groups alone.
 
     At most 1,000 keys are in a thousandth or more of the rows: those are joined by a broadcast, the rest by a shuffle.
     Both inputs are read twice, so they should be written tables.
     """
     total = groups.agg(F.sum(weight)).first()[0] or 0
     common = F.col(weight) * 1000 >= total
+    if how == "inner":
+        hot = groups.where(common).limit(1000)
+        rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(~common), keys)
+        return rows.join(F.broadcast(hot), keys).unionByName(rest)
     more = [c for c in groups.columns if c not in keys]
     hot = groups.where(common).limit(1000).select(*keys, *more, F.lit(True).alias("_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")

@@ -288,7 +288,7 @@ def _star(runs: DataFrame, turn: int) -> DataFrame:
     """runs beside one text of each run, its pivot, drawn by a hash that differs from turn to turn. A run may hold most texts: see join_common. runs: a written table."""
     of = F.struct(F.xxhash64("cls", F.lit(turn)).alias("rank"), F.col("cls").alias("pivot"), F.col("size").alias("pivot_size"), *([F.col("root").alias("pivot_root")] if "root" in runs.columns else []))
     pivots = written(runs.groupBy("run").agg(F.min(of).alias("p"), F.count("*").alias("weight")), "pivots")
-    return join_common(runs, pivots, ["run"], "weight").select(*runs.columns, "p.*").where("cls <> pivot")
+    return join_common(runs, pivots, ["run"], "weight", "inner").select(*runs.columns, "p.*").where("cls <> pivot")
 
 
 def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -373,8 +373,8 @@ def _unresolved(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     """Runs with texts of several components, without texts that can't be linked to another component: too few of their tokens occur in any."""
 
     def split(r: DataFrame) -> DataFrame:
-        runs = written(r.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("weight")), "roots")
-        return written(join_common(r, runs, ["run"], "weight").where("x <> y").select(*r.columns), "runs")
+        mixed = r.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("weight")).where("x <> y")
+        return written(join_common(r, written(mixed, "mixed"), ["run"], "weight", "inner").select(*r.columns), "runs")
 
     runs = split(written(runs, "rooted"))
     for _ in range(PRUNINGS):
@@ -392,8 +392,8 @@ def _unresolved(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
 
 def _of_length(runs: DataFrame, few: bool) -> DataFrame:
     """The runs of at most, or of more than, FEW texts."""
-    sizes = written(runs.groupBy("run").agg(F.count("*").alias("texts")), "run-sizes")
-    return join_common(runs, sizes, ["run"], "texts").where(F.col("texts") <= FEW if few else F.col("texts") > FEW).select(*runs.columns)
+    sizes = runs.groupBy("run").agg(F.count("*").alias("texts")).where(F.col("texts") <= FEW if few else F.col("texts") > FEW)
+    return join_common(runs, written(sizes, "run-sizes"), ["run"], "texts", "inner").select(*runs.columns)
 
 
 def _blocks(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:

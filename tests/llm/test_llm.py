@@ -590,3 +590,12 @@ def test_components(spark, local):
         got.setdefault(r.root, []).append(r.cls)
     assert sum(map(len, got.values())) == len(near) and set(map(frozenset, got.values())) == want
     assert jaccard.components(spark.createDataFrame([(4, 4)], "a long, b long"), local) is None
+
+
+def test_an_inner_join_of_common_keys_makes_the_groups_rows_alone(spark):
+    from dyadica.llm.common import join_common
+
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 5000), (2, 3), (3, 4), (None, 2)) for i in range(n)], "run long, cls long")
+    groups = spark.createDataFrame([(1, 5000, "x"), (3, 4, "y"), *[(k, 1, "z") for k in range(10, 3000)]], "run long, weight long, root string")
+    got = join_common(rows, groups, ["run"], "weight", "inner")
+    assert {tuple(r) for r in got.groupBy("run", "root").count().collect()} == {(1, "x", 5000), (3, "y", 4)}
