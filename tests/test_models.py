@@ -144,3 +144,21 @@ def test_predictions_of_all_sites_are_not_broadcast(spark):
 
     plan = frame(spark, SF, "SELECT * FROM model_dyads", always=["predictions"])._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [session" in plan and "BroadcastHashJoin [session" not in plan
+
+
+def test_scores_of_sites_equal_a_loop_where_a_sentence_holds_the_blanks_sign(spark):
+    from dyadica.plans.ngram import Model
+    from dyadica.plans.store import Store
+
+    corpus = spark.createDataFrame([("the cat saw a dog",), ("a cat ___ the dog",)], "text string")
+    model = Model(corpus, Store(spark), "")
+    text = "so ___ the cat saw a dog"
+    sites = spark.createDataFrame([(1, text, "the", 7, 10), (2, text, "a", 19, 20)], "k int, sentence string, form string, det_char_start int, det_char_end int")
+    got = {(r.k, r.form): r.log_p for r in model.score_sites(sites, ["k"], ["a", "the"], "x").collect()}
+    words, expected = ["so", "the", "cat", "saw", "a", "dog"], {}
+    grams = lambda w: list(zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False))
+    wanted = {(k, f): grams(words[:at] + [f] + words[at + 1 :]) for k, at in ((1, 1), (2, 4)) for f in ("a", "the")}
+    every = sorted({g for v in wanted.values() for g in v})
+    p = {(r.a, r.b, r.c): r.log_p for r in model.log_probabilities(spark.createDataFrame(every, "a string, b string, c string")).collect()}
+    expected = {k: sum(p[g] for g in v) for k, v in wanted.items()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], abs_tol=1e-9) for k in got)
