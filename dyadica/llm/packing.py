@@ -90,12 +90,17 @@ def pack(lengths: list[int], sizes=SIZES, cost=cost) -> list[tuple[int, list[int
     return best[1]
 
 
+def groups_of(docs: DataFrame, group_rows: int) -> int:
+    """How many groups docs are dealt into."""
+    return max(1, math.ceil(docs.count() / group_rows))
+
+
 def pack_documents(docs: DataFrame, sizes=SIZES, cost=cost, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows SCHEMA for docs (doc_id, length): where each piece of each document lies."""
     sizes = tuple(sorted(sizes))
     top = sizes[-1]
     docs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("length"), F.lit(0)).cast("long"), F.lit(0)).alias("length")), "lengths")
-    groups = max(1, math.ceil(docs.count() / group_rows))
+    groups = groups_of(docs, group_rows)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "missing", "doc_id"], ascending=[False, True, True], kind="stable")
@@ -139,14 +144,27 @@ def byte_lengths(docs: DataFrame) -> DataFrame:
 def sequences(docs: DataFrame, sizes=SIZES, cost=cost, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The packed sequences of docs (doc_id, text): bin_id, bin_size, n_tokens, doc_ids, starts (of each document's piece in the text), offsets (in the sequence) and tokens (binary).
 
-    Rows are known by numbers of their own, so ids may repeat. Texts are shuffled once to their places and once to their sequences, which hold bin_size bytes at most.
+    Texts are shuffled once, to the task of their group, where they meet their places and all bins of that group are filled. docs is read
+    twice, so it should be a written table. Rows are known by a hash of id and text; if any two agree in it, by numbers of their own in a copy.
     """
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()), "texts")
-    lengths = rows.select(F.col("row").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("length"))
+    text = F.coalesce("text", F.lit(""))
+    of = lambda row: docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
+    size = (F.octet_length("text") + 1).cast("long")
+    rows = of(F.xxhash64("doc_id", text))
+    lengths = written(rows.select(F.col("row").alias("doc_id"), size.alias("length")), "text-lengths")
+    if not lengths.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = written(of(F.monotonically_increasing_id()), "texts")
+        lengths = rows.select(F.col("row").alias("doc_id"), size.alias("length"))
+    groups = groups_of(lengths, group_rows)
     placed = pack_documents(lengths, sizes, cost, group_rows).withColumnRenamed("doc_id", "row")
-    whole = F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.lit(END))
-    pieces = placed.join(rows, "row").select("bin_id", "bin_size", F.struct("bin_offset", "doc_id", "start", whole.substr((F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("bytes")).alias("p"))
-    bins = pieces.groupBy("bin_id", "bin_size").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    # A group dealt on has a number that differs from its own by a multiple of groups.
+    places = placed.select(F.pmod(F.shiftright("bin_id", 32), F.lit(groups)).cast("long").alias("group"), "row", F.struct("bin_id", "bin_size", "bin_offset", "start", "length").alias("place"))
+    held = rows.select(F.pmod(F.xxhash64("row", size), F.lit(groups)).cast("long").alias("group"), "row", "doc_id", "text")
+    met = held.unionByName(places, allowMissingColumns=True).repartition("group").groupBy("group", "row").agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text"), F.collect_list("place").alias("places"))
+    pieces = met.select("group", "doc_id", F.concat(F.col("text").cast("binary"), F.lit(END)).alias("whole"), F.explode("places").alias("at"))
+    cut = F.col("whole").substr((F.col("at.start") + 1).cast("int"), F.col("at.length").cast("int"))
+    pieces = pieces.select("group", "at.bin_id", "at.bin_size", F.struct("at.bin_offset", "doc_id", "at.start", cut.alias("bytes")).alias("p"))
+    bins = pieces.groupBy("group", "bin_id", "bin_size").agg(F.sort_array(F.collect_list("p")).alias("p"))
     tokens = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"]))
     part = lambda c: F.transform("p", lambda x: x[c])
     return bins.select("bin_id", "bin_size", F.octet_length(tokens).cast("long").alias("n_tokens"), part("doc_id").alias("doc_ids"), part("start").alias("starts"), part("bin_offset").alias("offsets"), tokens.alias("tokens"))

@@ -331,6 +331,20 @@ def test_packed_sequences(spark):
     assert packing.sequences(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_packed_sequences_of_many_groups(spark, copies):
+    texts = {i: chr(97 + i % 26) * (i * 7 % 90) for i in range(200)}
+    d = docs(spark, list(texts.items()) + [(-1, "same")] * copies)
+    bins = packing.sequences(d, (16, 32), group_rows=3)
+    # One shuffle brings texts to their group; sequences are made where they are.
+    assert "hashpartitioning(bin_id" not in bins._jdf.queryExecution().executedPlan().toString()
+    rows = bins.collect()
+    assert len({r.bin_id for r in rows}) == len(rows) and all(r.n_tokens == len(r.tokens) <= r.bin_size for r in rows)
+    found = Counter((i, start, bytes(r.tokens)[lo:hi]) for r in rows for i, start, lo, hi in zip(r.doc_ids, r.starts, r.offsets, [*r.offsets[1:], r.n_tokens], strict=True))
+    whole = [(i, t.encode() + packing.END) for i, t in texts.items()] + [(-1, b"same" + packing.END)] * copies
+    assert found == Counter((i, at, t[at : at + 32]) for i, t in whole for at in range(0, len(t), 32))
+
+
 def partitions(items):
     if not items:
         yield []
