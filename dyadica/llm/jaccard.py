@@ -11,8 +11,8 @@ segment is a hash of its tokens. Costs decide which keys count:
   intersection.
 - Keys of more than HOT texts (common passages) are left out for each set that keeps, without them, more keys than the
   pairs' difference can use up. Pairs whose number of common keys is too small for a link are dropped before any set is read.
-- What remains in common keys (groups of many near copies) is compared with one text of each key, and joined into
-  components. A text too few of whose tokens occur in other components is done. That is repeated with other texts while it
+- What remains in common keys (groups of many near copies) is compared with one text of each key, at first of two of a
+  text's keys only, and joined into components. A text too few of whose tokens occur in other components is done. That is repeated with other texts while it
   thins the rest out. What is left is compared across components: each with each under keys of few texts, and block by
   block, as products of matrices, under others. A pair of components that is linked in a block needs one link only.
 
@@ -284,11 +284,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def _marked(runs: DataFrame) -> DataFrame:
+    """runs with `common`: whether a run has a thousandth of all rows or more, as at most 1,000 runs have. runs: a written table."""
+    weights = written(runs.groupBy("run").agg(F.count("*").alias("weight")), "run-weights")
+    total = weights.agg(F.sum("weight")).first()[0] or 0
+    common = weights.where(F.col("weight") * 1000 >= total).limit(1000).select("run", F.lit(True).alias("common"))
+    return runs.join(F.broadcast(common), "run", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+
+
+def _beside(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """runs of these groups (run, common and others; a row for each run): common runs by a broadcast, the others by a shuffle. Both are read twice, so they should be written tables."""
+    common = F.col("common")
+    hot = runs.where(common).join(F.broadcast(groups.where(common).drop("common").limit(1000)), "run")
+    return hot.unionByName(runs.where(~common).join(groups.where(~common).drop("common"), "run"))
+
+
+def _leads(runs: DataFrame) -> DataFrame:
+    """Two runs of each text, those of the least and the largest key: near copies mostly agree in these, as minhashes do."""
+    run = F.struct("run", "common")
+    ends = written(runs.groupBy("cls", "size").agg(F.min(run).alias("low"), F.max(run).alias("high")), "ends")
+    return written(ends.select("low.run", "cls", "size", "low.common").unionByName(ends.where("low.run <> high.run").select("high.run", "cls", "size", "high.common")), "leads")
+
+
 def _star(runs: DataFrame, turn: int) -> DataFrame:
-    """runs beside one text of each run, its pivot, drawn by a hash that differs from turn to turn. A run may hold most texts: see join_common. runs: a written table."""
+    """runs beside one text of each run, its pivot, drawn by a hash that differs from turn to turn. A run may hold most texts: see _beside. runs: a written table."""
     of = F.struct(F.xxhash64("cls", F.lit(turn)).alias("rank"), F.col("cls").alias("pivot"), F.col("size").alias("pivot_size"), *([F.col("root").alias("pivot_root")] if "root" in runs.columns else []))
-    pivots = written(runs.groupBy("run").agg(F.min(of).alias("p"), F.count("*").alias("weight")), "pivots")
-    return join_common(runs, pivots, ["run"], "weight", "inner").select(*runs.columns, "p.*").where("cls <> pivot")
+    pivots = written(runs.groupBy("run", "common").agg(F.min(of).alias("p")), "pivots")
+    return _beside(runs, pivots).select(*runs.columns, "p.*").where("cls <> pivot")
 
 
 def link(docs: DataFrame, percent: int = PERCENT, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -311,6 +333,7 @@ def _link(docs: DataFrame, percent: int, hot: int, bucket_tokens: int) -> DataFr
     lost = written(members.groupBy("cls", "odd").agg(F.count("*").alias("lost"), F.min("spare").alias("spare")), "lost")
     # A set that keeps enough other keys leaves common ones.
     runs = written(members.join(lost.where("lost >= spare").select("cls", "odd"), ["cls", "odd"], "left_semi").select("run", "cls", "size"), "runs")
+    runs = written(_marked(runs), "runs")
     pairs = found.where("b is not null").groupBy("a", "b", "odd").agg(F.sum("n").alias("n"), F.min("size_a").alias("size_a"), F.min("size_b").alias("size_b"), F.min("spare_a").alias("spare_a"), F.min("spare_b").alias("spare_b"))
     for side in "ab":
         pairs = pairs.join(lost.select(F.col("cls").alias(side), "odd", F.col("lost").alias(f"lost_{side}")), [side, "odd"], "left")
@@ -318,7 +341,7 @@ def _link(docs: DataFrame, percent: int, hot: int, bucket_tokens: int) -> DataFr
     tested = written(pairs.where(F.col("n") >= least).select("a", "b"), "pairs")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     ordered = lambda p, x, y: p.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    first = ordered(_star(runs, 0).where(fits(F.col("size"), F.col("pivot_size"))), "cls", "pivot")
+    first = ordered(_star(_leads(runs), 0).where(fits(F.col("size"), F.col("pivot_size"))), "cls", "pivot")
     todo = written(tested.unionByName(first).distinct(), "todo")
     needed = todo.select(F.col("a").alias("cls")).union(todo.select("b")).union(runs.select("cls")).distinct()
     needed = written(needed, "needed")
@@ -334,9 +357,9 @@ def _link(docs: DataFrame, percent: int, hot: int, bucket_tokens: int) -> DataFr
         if last or runs.isEmpty():
             break
         if labels is not None:
-            runs = runs.drop("root").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            runs = runs.drop("root", "texts").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         else:
-            runs = runs.drop("root").withColumn("root", F.col("cls"))
+            runs = runs.drop("root", "texts").withColumn("root", F.col("cls"))
         runs = _unresolved(runs, chosen, percent)
         if runs.isEmpty():
             break
@@ -346,7 +369,7 @@ def _link(docs: DataFrame, percent: int, hot: int, bucket_tokens: int) -> DataFr
         else:
             last = True
             edges = edges.unionByName(_blocks(runs, chosen, percent))
-            small = _of_length(runs, few=True)
+            small = runs.where(F.col("texts") <= FEW)
             other = small.select("run", *[F.col(c).alias(f"{c}_2") for c in ("cls", "size", "root")])
             met = small.join(other, "run").where((F.col("cls") < F.col("cls_2")) & (F.col("root") != F.col("root_2")) & fits(F.col("size"), F.col("size_2")))
             more = ordered(met, "cls", "cls_2")
@@ -370,11 +393,14 @@ def _chosen(every: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _unresolved(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """Runs with texts of several components, without texts that can't be linked to another component: too few of their tokens occur in any."""
+    """Runs with texts of several components, without texts that can't be linked to another component: too few of their tokens occur in any.
+
+    `texts` is a run's number of texts, or more, where some have been left out since.
+    """
 
     def split(r: DataFrame) -> DataFrame:
-        mixed = r.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("weight")).where("x <> y")
-        return written(join_common(r, written(mixed, "mixed"), ["run"], "weight", "inner").select(*r.columns), "runs")
+        mixed = r.groupBy("run", "common").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("texts")).where("x <> y")
+        return written(_beside(r.drop("texts"), written(mixed.drop("x", "y"), "mixed")), "runs")
 
     runs = split(written(runs, "rooted"))
     for _ in range(PRUNINGS):
@@ -383,27 +409,22 @@ def _unresolved(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
         tokens = written(runs.select("cls", "root", "size").distinct().join(chosen, "cls").select("cls", "root", "size", F.explode("tokens").alias("token")), "tokens")
         shared = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
         able = tokens.join(shared, "token", "left_semi").groupBy("cls", "size").count().where(F.col("count") * 100 >= F.col("size") * percent).select("cls")
-        before, runs = runs, split(written(runs.join(able, "cls", "left_semi"), "able"))
+        kept = written(runs.join(able, "cls", "left_semi"), "able")
         drop_written(tokens)
-        if 10 * runs.count() > 9 * before.count():
-            break
+        if kept.count() > THINNED * runs.count():
+            return kept
+        runs = split(kept)
     return runs
 
 
-def _of_length(runs: DataFrame, few: bool) -> DataFrame:
-    """The runs of at most, or of more than, FEW texts."""
-    sizes = runs.groupBy("run").agg(F.count("*").alias("texts")).where(F.col("texts") <= FEW if few else F.col("texts") > FEW)
-    return join_common(runs, written(sizes, "run-sizes"), ["run"], "texts", "inner").select(*runs.columns)
-
-
 def _blocks(runs: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
     """Links between components among the texts of runs of more than FEW texts.
 
     Texts that meet in such runs form clusters; blocks of some BLOCK texts of like size of a cluster are compared by a product of
     matrices, block by block. Only one link for each pair of components leaves a task.
     """
-    runs = written(_of_length(runs, few=False), "long-runs")
-    met = components(_star(runs, 0).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    runs = written(runs.where(F.col("texts") > FEW), "long-runs")
+    met = components(runs.select(F.col("cls").alias("a"), F.col("run").alias("b")))  # should a run's number be a text's, clusters only become larger
     if met is None:
         return runs.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
     docs = written(runs.select("cls", "size", F.col("root").alias("part")).distinct().join(met.withColumnRenamed("root", "cluster"), "cls"), "clusters")

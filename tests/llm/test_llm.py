@@ -613,3 +613,29 @@ def test_an_inner_join_of_common_keys_makes_the_groups_rows_alone(spark):
     groups = spark.createDataFrame([(1, 5000, "x"), (3, 4, "y"), *[(k, 1, "z") for k in range(10, 3000)]], "run long, weight long, root string")
     got = join_common(rows, groups, ["run"], "weight", "inner")
     assert {tuple(r) for r in got.groupBy("run", "root").count().collect()} == {(1, "x", 5000), (3, "y", 4)}
+
+
+def test_near_copies_first_meet_under_two_keys(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 1, 6])):
+            w[at] = f"x{i}_{at}"
+        texts[i] = " ".join(w)
+    calls, star = [], jaccard._star
+    monkeypatch.setattr(jaccard, "_star", lambda runs, turn: calls.append((runs.count(), runs.select("cls").distinct().count())) or star(runs, turn))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for a, b in combinations(texts, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    got = {r.doc_id: r.component_id for r in jaccard.link(docs(spark, list(texts.items()))).collect()}
+    assert got == root
+    rows, held = calls[0]
+    assert held > 8 and rows <= 2 * held  # not a row for each of a text's common keys
+    runs = spark.createDataFrame([(r, c, r == 1) for r in (1, 2, 3) for c in range(5)], "run long, cls long, common boolean")
+    groups = spark.createDataFrame([(1, True, 7), (2, False, 8)], "run long, common boolean, texts long")
+    assert Counter((r.run, r.cls, r.common, r.texts) for r in jaccard._beside(runs, groups).collect()) == Counter((r, c, r == 1, r + 6) for r in (1, 2) for c in range(5))
