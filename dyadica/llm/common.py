@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Of a row group of whole texts: a task that writes some holds one of them.
+GROUP_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,21 +48,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows for what runs inside; then the session's setting holds again. Texts and lists may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def _set(spark: SparkSession, settings: dict[str, str]):
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside; then the session's setting holds again. Texts and lists may be long."""
+    return _set(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
+
+
+def long_rows(spark: SparkSession, rows: int = 256):
+    """Batches of at most so many rows where what runs inside reads parquet files or passes rows to Python.
+
+    By default a task holds 4,096 whole texts as it reads, and 10,000 more as it passes them on: some 100 MB for each of an executor's cores.
+    """
+    return _set(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.parquet.columnarReaderBatchSize": str(rows)})
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table into the shared folder and read again: lineage ends there and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """df, written as a table into the shared folder and read again: lineage ends there and a lost executor costs nothing. group_bytes: of a row group, which a task's writer and a later reader hold whole."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

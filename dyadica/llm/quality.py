@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, words, written
+from .common import GROUP_BYTES, WORD, let, long_rows, table, words, written
 
 BUCKETS, PER_ROOT, TRUSTED_ROWS, THRESHOLD = 1 << 14, 4, 50_000, -0.25
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
@@ -142,4 +142,5 @@ def query(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """The documents that the rules keep."""
-    return score(docs, trusted_of(table(spark, sf_dir, "labels"))).where("kept").select(*docs.columns)
+    with long_rows(spark):
+        return written(score(docs, trusted_of(table(spark, sf_dir, "labels"))).where("kept").select(*docs.columns), "kept", GROUP_BYTES)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import GROUP_BYTES, long_rows, table, written
 
 BITS, RANK, TRAIN_ROWS, MIN_DOCS, CHI_SQUARE, PAIR_ODDS, PAIR_ROWS, PAIR_DOCS, EPOCHS, RATE, DECAY, SEED = 18, 4, 20_000, 4, 15.0, 20, 4_000, 8, 12, 0.05, 1e-4, 7
 TERM = re.compile(r"[^\W_]+")
@@ -175,10 +175,13 @@ def model_of(spark, sf_dir):
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, model_of(spark, sf_dir)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    with long_rows(spark):
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        scored = score(docs, model_of(spark, sf_dir)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+        return written(scored, "scores")
 
 
 def stage(spark, docs, sf_dir):
     """The documents that are not predicted toxic."""
-    return score(docs, model_of(spark, sf_dir)).where("predicted = 0").select(*docs.columns)
+    with long_rows(spark):
+        return written(score(docs, model_of(spark, sf_dir)).where("predicted = 0").select(*docs.columns), "harmless", GROUP_BYTES)
