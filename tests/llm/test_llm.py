@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -283,6 +284,31 @@ def test_neighbours_search_goes_on(spark):
     assert neighbours.pool_of(100) == neighbours.POOL < neighbours.pool_of(50_000) < neighbours.pool_of(3_000_000)
 
 
+def test_neighbours_search_sends_what_can_enter_a_pool(spark):
+    """What scores less than the worst of a full pool isn't sent to it, and pools are those of a loop that sends all."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 6))
+    made = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(150)], "node long, vector array<double>")
+    nodes = made.select("node", "vector", neighbours.packed("vector").alias("packed")).cache()
+    code = {r.node: bytes(r.packed) for r in nodes.collect()}
+    near = neighbours._unpacked([code[i] for i in range(150)])
+    near = near @ near.T
+    lists = {i: [int(j) for j in np.argsort(-near[i]) if j != i][:6] for i in range(150)}
+    graph = spark.createDataFrame([(i, j) for i, to in lists.items() for j in to], "node long, other long")
+    found = neighbours.search(graph, nodes, spark.createDataFrame([(i,) for i in range(0, 150, 10)], "query long"), pool=12, width=3).toPandas()
+    for q in range(0, 150, 10):
+        pool, done = [q], set()
+        while todo := [j for j in pool if j not in done][:3]:
+            done.update(todo)
+            every = {*pool, *(j for i in todo for j in lists[i])}
+            pool = sorted(every, key=lambda j: (j != q, -near[q, j], j))[:12]
+        assert sorted(found[found["query"] == q].node) == sorted(pool)
+    row = {"query": 0, "of": code[0], "others": lists[0], "codes": [code[j] for j in lists[0]]}
+    cut = near[0, lists[0][2]] - 1e-9
+    out = pd.concat(neighbours._dots(iter([pd.DataFrame([row | {"worst": None}, row | {"query": 1, "worst": cut}])])))
+    assert out[out["query"] == 0].node.tolist() == lists[0] and out[out["query"] == 1].node.tolist() == lists[0][:3]
+
+
 def test_neighbours_descent_goes_on(spark, monkeypatch):
     """Each of nine rounds still changes the graph."""
     rounds = iter(range(2, 11))
